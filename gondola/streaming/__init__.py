@@ -1,0 +1 @@
+"""Nothing to stream: every operator in scope is a batch job over tables."""
