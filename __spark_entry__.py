@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gondola.operators import reports
+from gondola.operators import quality, reports
 from gondola.sources.orders_feed import star_from_orders
+from oracle.quality import QUALITY
 from oracle.reports import REPORTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,9 +33,17 @@ def queries() -> dict[str, Query]:
         "dashboard_kpis": _on_star(reports.dashboard_kpis),
         "top_sellers": _on_star(reports.top_sellers),
         "table_row_counts": _on_star(reports.table_row_counts),
+        "dq_checks": _on_star(quality.dq_checks),
+        "dq_overall": _on_star(quality.dq_overall),
+        "data_period": _on_star(quality.data_period),
+        "revenue_profit_total": _on_star(quality.revenue_profit_total),
+        "eligible_products": _on_star(quality.eligible_products),
+        "eligible_products_natural": _on_star(quality.eligible_products, by="product"),
+        "top_groups": _on_star(quality.top_groups),
+        "returns_summary": _on_star(quality.returns_summary),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL, where SQL can express them."""
-    return {**REPORTS}
+    return {**REPORTS, **QUALITY}
