@@ -5,22 +5,87 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gondola.operators import quality, reports
+from gondola.functions.lineage import cut_lineage
+from gondola.operators import demand, quality, reports
 from gondola.sources.orders_feed import star_from_orders
+from oracle.demand import DEMAND_SQL
 from oracle.quality import QUALITY
 from oracle.reports import REPORTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Marts and models are read several times by the queries built on them. Each is made
+# once per Spark application and table folder.
+_made: dict[tuple[str, str, str], object] = {}
+
+# Boosting rounds and forest size here keep the check short; the library defaults are
+# 300 and 100.
+TREES = demand.TreeSettings(rounds=30)
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def _star(spark: SparkSession, sf_dir: str):
+    return star_from_orders(spark, sf_dir)
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "history",
+                 lambda: cut_lineage(reports.monthly_sales(_star(spark, sf_dir))))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "features",
+                 lambda: cut_lineage(reports.product_features(_star(spark, sf_dir))))
+
+
+def _trees(spark: SparkSession, sf_dir: str):
+    return _once(spark, sf_dir, "trees", lambda: demand.train_demand(
+        demand.tree_rows(_history(spark, sf_dir)), TREES))
+
+
+def _on_star(build: Callable[..., DataFrame], **options) -> Query:
+    return lambda spark, sf_dir: build(_star(spark, sf_dir), **options)
+
+
+def _on_history(build: Callable[..., DataFrame], **options) -> Query:
+    return lambda spark, sf_dir: build(_history(spark, sf_dir), **options)
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """The executive KPI row over the smallest tables."""
-    return reports.dashboard_kpis(star_from_orders(spark, "/root/testdata/sf0.001"))
+    return reports.dashboard_kpis(_star(spark, "/root/testdata/sf0.001"))
 
 
-def _on_star(build: Callable[..., DataFrame], **options) -> Query:
-    return lambda spark, sf_dir: build(star_from_orders(spark, sf_dir), **options)
+def _train_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demand.tree_rows(_history(spark, sf_dir))
+    return demand.tree_mae(_trees(spark, sf_dir), rows)
+
+
+def _demand_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = _history(spark, sf_dir)
+    return demand.demand_mae(history, _trees(spark, sf_dir), demand.tree_rows(history))
+
+
+def _forecast_all(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
+    return demand.forecast_all(_history(spark, sf_dir), _trees(spark, sf_dir), steps)
+
+
+def _seasonal(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
+    return demand.forecast_seasonal(demand.train_seasonal(_history(spark, sf_dir)), steps)
+
+
+def _forecast_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forecasts = _seasonal(spark, sf_dir, 12)
+    first = forecasts.select(F.min("sk_produto")).scalar()
+    return demand.forecast_product(forecasts, first, 12)
 
 
 def queries() -> dict[str, Query]:
@@ -41,9 +106,26 @@ def queries() -> dict[str, Query]:
         "eligible_products_natural": _on_star(quality.eligible_products, by="product"),
         "top_groups": _on_star(quality.top_groups),
         "returns_summary": _on_star(quality.returns_summary),
+        "demand_features": _on_history(demand.demand_features),
+        "demand_split": _on_history(lambda h: demand.demand_split(demand.demand_features(h))),
+        "train_demand": _train_demand,
+        "train_seasonal": _on_history(
+            lambda h: demand.seasonal_factors(demand.train_seasonal(h))),
+        "seasonal_mae": _on_history(demand.seasonal_mae),
+        "demand_mae": _demand_mae,
+        "forecast_recursive": lambda spark, sf_dir: demand.forecast_recursive(
+            _history(spark, sf_dir), _trees(spark, sf_dir), route="trees"),
+        "forecast_seasonal": _seasonal,
+        "forecast_seasonal_12": lambda spark, sf_dir: _seasonal(spark, sf_dir, 12),
+        "forecast_product": _forecast_product,
+        "forecast_all": _forecast_all,
+        "forecast_next_month": lambda spark, sf_dir: demand.forecast_next_month(
+            _forecast_all(spark, sf_dir, 1)),
+        "forecastable_products": lambda spark, sf_dir: demand.forecastable_products(
+            _history(spark, sf_dir), _features(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL, where SQL can express them."""
-    return {**REPORTS, **QUALITY}
+    return {**REPORTS, **QUALITY, **DEMAND_SQL}
