@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.functions.lineage import cut_lineage
-from gondola.operators import demand, quality, reports
+from gondola.operators import (
+    augment,
+    dashboard,
+    demand,
+    metrics,
+    patterns,
+    quality,
+    reports,
+    stock,
+)
 from gondola.sources.orders_feed import star_from_orders
 from oracle.demand import DEMAND_SQL
 from oracle.quality import QUALITY
 from oracle.reports import REPORTS
+from oracle.stock import STOCK
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +33,7 @@ _made: dict[tuple[str, str, str], object] = {}
 # Boosting rounds and forest size here keep the check short; the library defaults are
 # 300 and 100.
 TREES = demand.TreeSettings(rounds=30)
+FOREST = stock.ForestSettings(trees=30)
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
@@ -51,12 +62,82 @@ def _trees(spark: SparkSession, sf_dir: str):
         demand.tree_rows(_history(spark, sf_dir)), TREES))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "labelled",
+                 lambda: cut_lineage(stock.stock_labels(_features(spark, sf_dir))))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled products as scaled vectors."""
+    labelled = _labelled(spark, sf_dir)
+    return _once(spark, sf_dir, "vectors", lambda: cut_lineage(
+        stock.labelled_vectors(stock.fit_scaler(labelled), labelled)))
+
+
+def _classifier(spark: SparkSession, sf_dir: str, augmented: bool = False):
+    return _once(spark, sf_dir, f"classifier {augmented}", lambda: stock.train_stock(
+        _labelled(spark, sf_dir), augment=augmented, settings=FOREST))
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _classifier(spark, sf_dir).model
+    return stock.stock_scores(model, _features(spark, sf_dir))
+
+
+def _pattern_model(spark: SparkSession, sf_dir: str):
+    return _once(spark, sf_dir, "patterns",
+                 lambda: patterns.train_patterns(_features(spark, sf_dir)))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.pattern_predict(_pattern_model(spark, sf_dir), _features(spark, sf_dir))
+
+
+def _given_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by key instead of by K-means, so that SQL can follow."""
+    return _features(spark, sf_dir).withColumn("Cluster", F.col("sk_produto") % 4)
+
+
+def _given_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = _given_clusters(spark, sf_dir)
+    return patterns.named_segments(assigned, patterns.pattern_labels(assigned))
+
+
+def _on(source: Callable[[SparkSession, str], DataFrame], build: Callable[..., DataFrame],
+        **options) -> Query:
+    return lambda spark, sf_dir: build(source(spark, sf_dir), **options)
+
+
 def _on_star(build: Callable[..., DataFrame], **options) -> Query:
-    return lambda spark, sf_dir: build(_star(spark, sf_dir), **options)
+    return _on(_star, build, **options)
 
 
 def _on_history(build: Callable[..., DataFrame], **options) -> Query:
-    return lambda spark, sf_dir: build(_history(spark, sf_dir), **options)
+    return _on(_history, build, **options)
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stock.rule_predictions(_labelled(spark, sf_dir))
+
+
+def _trend_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule labels, and a guess at them from the trend alone."""
+    trend = F.col("TrendPct")
+    return _labelled(spark, sf_dir).select(
+        F.col("StockStatus").alias("label"),
+        F.when(F.col("AvgMonthlyQty3m") == 0, "INATIVO").when(trend < -40, "CRITICO")
+        .when(trend < -5, "BAIXO").otherwise("NORMAL").alias("predicted"))
+
+
+def _held_out_report(augmented: bool) -> Query:
+    return lambda spark, sf_dir: metrics.class_report(
+        _classifier(spark, sf_dir, augmented).held_out)
+
+
+def _dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.dashboard(
+        _star(spark, sf_dir), _features(spark, sf_dir), _predictions(spark, sf_dir),
+        _segments(spark, sf_dir))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -123,9 +204,36 @@ def queries() -> dict[str, Query]:
             _forecast_all(spark, sf_dir, 1)),
         "forecastable_products": lambda spark, sf_dir: demand.forecastable_products(
             _history(spark, sf_dir), _features(spark, sf_dir)),
+        "augment_gaussian": _on_history(augment.augment_gaussian),
+        "stock_features": _on(_features, stock.stock_features),
+        "stock_labels": _on(_features, stock.stock_labels),
+        "stock_label_counts": _on(_labelled, stock.label_counts),
+        "smote": _on(_vectors, augment.smote),
+        "mixup": _on(_vectors, augment.mixup),
+        "augment_classifier": _on(_vectors, augment.augment_classifier),
+        "train_stock": _held_out_report(augmented=False),
+        "train_stock_augmented": _held_out_report(augmented=True),
+        "class_report": _on(_trend_only, metrics.class_report),
+        "stock_predict": lambda spark, sf_dir: stock.stock_predict(
+            _classifier(spark, sf_dir).model, _features(spark, sf_dir)),
+        "stock_alerts": _on(_predictions, stock.stock_alerts),
+        "stock_alerts_rules": _on(_rules, stock.stock_alerts),
+        "stock_alerts_critical_rules": _on(_rules, stock.stock_alerts, status="critico"),
+        "stock_status_counts_rules": _on(_rules, stock.status_counts),
+        "stock_summary": _on(_predictions, stock.stock_summary),
+        "stock_top_critical_rules": _on(_rules, stock.top_products, status="CRITICO"),
+        "stock_top_normal_rules": _on(_rules, stock.top_products, status="NORMAL"),
+        "feature_summary": _on(_features, stock.feature_summary),
+        "train_patterns": _on(_segments, patterns.pattern_summary),
+        "pattern_labels": _on(_given_clusters, patterns.pattern_labels),
+        "pattern_predict": _segments,
+        "pattern_summary": _on(_given_segments, patterns.pattern_summary),
+        "pattern_products": _on(
+            _given_segments, patterns.pattern_products, pattern="Venda Sazonal"),
+        "dashboard": _dashboard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL, where SQL can express them."""
-    return {**REPORTS, **QUALITY, **DEMAND_SQL}
+    return {**REPORTS, **QUALITY, **DEMAND_SQL, **STOCK}
