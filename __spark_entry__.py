@@ -19,6 +19,7 @@ from gondola.operators import (
     stock,
 )
 from gondola.sources.orders_feed import star_from_orders
+from gondola.sources.warehouse import as_json_records
 from oracle.demand import DEMAND_SQL
 from oracle.quality import QUALITY
 from oracle.reports import REPORTS
@@ -176,6 +177,7 @@ def queries() -> dict[str, Query]:
         "product_features": _on_star(reports.product_features),
         "sales_by_territory": _on_star(reports.sales_by_territory),
         "seller_performance": _on_star(reports.seller_performance),
+        "seller_performance_12_months": _on_star(reports.seller_performance, months=12),
         "dashboard_kpis": _on_star(reports.dashboard_kpis),
         "top_sellers": _on_star(reports.top_sellers),
         "table_row_counts": _on_star(reports.table_row_counts),
@@ -208,6 +210,8 @@ def queries() -> dict[str, Query]:
         "stock_features": _on(_features, stock.stock_features),
         "stock_labels": _on(_features, stock.stock_labels),
         "stock_label_counts": _on(_labelled, stock.label_counts),
+        "label_counts_json": lambda spark, sf_dir: as_json_records(
+            stock.label_counts(_labelled(spark, sf_dir))),
         "smote": _on(_vectors, augment.smote),
         "mixup": _on(_vectors, augment.mixup),
         "augment_classifier": _on(_vectors, augment.augment_classifier),

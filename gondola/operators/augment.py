@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import hash_beta, hash_key, hash_normal, hash_uniform
+from gondola.functions.lineage import cut_lineage
 from gondola.functions.neighbours import nearest_in_class
 from gondola.functions.ordering import numbered_by_hash
 
@@ -144,6 +145,9 @@ def augment_classifier(
     """Balance the classes, then mix; either step can be left out."""
     if use_smote:
         rows = smote(rows, seed=seed)
+        if use_mixup:
+            # Mixing reads its input several times.
+            rows = cut_lineage(rows)
     if use_mixup:
         rows = mixup(rows, n_samples=mixup_samples, seed=seed)
     return rows

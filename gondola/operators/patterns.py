@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -53,9 +55,13 @@ def assign(pipeline: PipelineModel, features: DataFrame) -> DataFrame:
 
 
 def train_patterns(
-    features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42
+    features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42, parallelism: int = 4
 ) -> PatternModel:
-    """K-means on scaled features, the cheapest of several starts."""
+    """K-means on scaled features, the cheapest of several starts.
+
+    The starts are independent jobs on one cached frame; ``parallelism`` of them run at
+    a time.
+    """
     if not 1 <= k <= len(PATTERN_NAMES):
         raise ValueError(f"k must lie between 1 and {len(PATTERN_NAMES)}, not {k}")
     rows = features.dropna(subset=FEATURES)
@@ -65,9 +71,11 @@ def train_patterns(
     ]).fit(rows)
     vectors = scaler.transform(rows).select("scaled").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        starts = [
-            KMeans(k=k, seed=seed + i, featuresCol="scaled").fit(vectors) for i in range(restarts)
-        ]
+        vectors.count()
+        fit = inheritable_thread_target(features.sparkSession)(
+            lambda start: KMeans(k=k, seed=seed + start, featuresCol="scaled").fit(vectors))
+        with ThreadPoolExecutor(parallelism) as pool:
+            starts = list(pool.map(fit, range(restarts)))
     finally:
         vectors.unpersist()
     best = min(starts, key=lambda m: m.summary.trainingCost)

@@ -19,7 +19,7 @@ from gondola.operators.sales import (
     latest_version,
     margin,
     named_products,
-    orders_by_day,
+    order_totals,
     product_margins,
     recent_start,
     sale_dates,
@@ -165,7 +165,7 @@ def sales_by_territory(star: StarSchema, months: int = 12) -> DataFrame:
     day = F.col("Data")
     state = F.coalesce(F.col("Territory"), F.lit("N/I"))
     return (
-        orders_by_day(in_window, product_margins(star))
+        order_totals(in_window, product_margins(star), "IDTempo")
         .join(states, "IDCliente")
         .join(star.calendar(), "IDTempo")
         .groupBy(
@@ -195,16 +195,16 @@ def seller_totals(star: StarSchema, months: int | None = None) -> DataFrame:
         calendar = star.calendar(since=window_start(star, months))
         sales = sales.join(calendar.select("IDTempo"), "IDTempo")
     totals = (
-        sales.join(product_margins(star), "IDProduto")
+        order_totals(sales, product_margins(star), "IDVendedor")
         .filter(F.col("IDVendedor").isNotNull())
         .groupBy("IDVendedor")
         .agg(
-            money(F.sum("TotLiq")).alias("TotalRevenue"),
-            (money(F.sum(F.col("TotLiq") * F.col("Margem"))) / 100).alias("TotalProfit"),
-            money(F.sum("Quant")).alias("TotalQty"),
+            money(F.sum("revenue")).alias("TotalRevenue"),
+            (money(F.sum("revenue_margin")) / 100).alias("TotalProfit"),
+            money(F.sum("qty")).alias("TotalQty"),
             F.count_distinct("IDPed").alias("OrderCount"),
             F.count_distinct("IDCliente").alias("UniqueCustomers"),
-            (money(F.sum("Margem")) / F.count("*")).alias("AvgMargin"),
+            (money(F.sum("margin")) / F.sum("lines")).alias("AvgMargin"),
         )
     )
     return totals.join(latest_version(star.dim_vendedor, "IDVendedor"), "IDVendedor").select(
@@ -247,7 +247,7 @@ def promotion_impact(spark: SparkSession) -> DataFrame:
 def dashboard_kpis(star: StarSchema) -> DataFrame:
     """One row of 14 figures. Year over year sets a partial year against a full one."""
     last = sale_dates(star).select("last_day").scalar()
-    orders = orders_by_day(valid_sales(star), product_margins(star))
+    orders = order_totals(valid_sales(star), product_margins(star), "IDTempo")
     day, revenue = F.col("Data"), F.col("revenue")
     year_gap = F.year(last) - F.year(day)
     month_gap = F.months_between(month_start(last), month_start(day))

@@ -69,12 +69,13 @@ def named_products(star: StarSchema) -> DataFrame:
     )
 
 
-def orders_by_day(sales: DataFrame, margins: DataFrame) -> DataFrame:
-    """Sums per (order, customer, day), with revenue weighted by margin.
+def order_totals(sales: DataFrame, margins: DataFrame, by: str) -> DataFrame:
+    """Sums per order, customer and ``by``, with revenue weighted by margin.
 
-    Few rows remain per order, and the keys spread evenly whatever the product.
+    Few rows remain of an order, so counting distinct orders and customers, for which
+    Spark copies every row, starts from less; the keys spread evenly whatever the product.
     """
-    return sales.join(margins, "IDProduto").groupBy("IDPed", "IDCliente", "IDTempo").agg(
+    return sales.join(margins, "IDProduto").groupBy("IDPed", "IDCliente", by).agg(
         F.sum("Quant").alias("qty"),
         F.sum("TotLiq").alias("revenue"),
         F.sum(F.col("TotLiq") * F.col("Margem")).alias("revenue_margin"),

@@ -144,7 +144,7 @@ def train_stock(
     split = cut_lineage(stratified_split(rows, seed=settings.seed))
     train = split.filter("is_train").drop("is_train")
     if augment and split_first:
-        train = augment_classifier(train, mixup_samples=mixup_samples)
+        train = cut_lineage(augment_classifier(train, mixup_samples=mixup_samples))
     names = StringIndexer(
         inputCol="label", outputCol="code", stringOrderType="alphabetAsc").fit(rows)
     forest = RandomForestClassifier(

@@ -8,8 +8,7 @@ from pyspark.sql.types import DecimalType
 
 from gondola.sources.schema import SCHEMAS, StarSchema, conform
 
-# One directory per day of sales: month windows become partition pruning.
-PARTITION_COLUMNS = {"ft_vendas": ["IDTempo"]}
+DAY_WRITERS = 16
 
 
 def read_star(spark: SparkSession, path: str, fmt: str = "parquet") -> StarSchema:
@@ -41,17 +40,23 @@ def read_star_jdbc(
     return StarSchema(**{name: table(name) for name in SCHEMAS})
 
 
-def write_star(star: StarSchema, path: str, fmt: str = "parquet") -> None:
-    """Store the star schema, the sales fact in one partition per day.
+def write_star(
+    star: StarSchema, path: str, fmt: str = "parquet", sales_by_day: bool = False
+) -> None:
+    """Store the star schema.
 
-    Rows are spread over tasks by day *and* order, so that one busy day is
-    written by many tasks while each task still sees few days.
+    ``sales_by_day`` gives the sales fact one folder per day, which turns month windows
+    into partition pruning; it pays once a day holds at least some hundred megabytes.
+    Rows are then spread by day *and* order, so that several tasks share a busy day and
+    no task writes to more than a few folders at once.
     """
     for name, df in star.tables().items():
-        keys = PARTITION_COLUMNS.get(name, [])
-        if keys:
-            df = df.repartition(*keys, F.pmod(F.xxhash64("IDPed"), F.lit(16)))
-        df.write.format(fmt).mode("overwrite").partitionBy(*keys).save(f"{path}/{name}")
+        by_day = sales_by_day and name == "ft_vendas"
+        if by_day:
+            df = df.repartition(
+                "IDTempo", F.pmod(F.xxhash64("IDPed"), F.lit(DAY_WRITERS)))
+        writer = df.write.format(fmt).mode("overwrite")
+        (writer.partitionBy("IDTempo") if by_day else writer).save(f"{path}/{name}")
 
 
 def write_json_records(df: DataFrame, path: str) -> None:

@@ -15,7 +15,7 @@ sellers AS (
     count(DISTINCT v.IDCliente) AS UniqueCustomers,
     CAST(round(sum(coalesce(dp.Margem, 0)), 4) AS DOUBLE) / count(*) AS AvgMargin,
     CAST(NULL AS DOUBLE) AS QuotaAttainmentPct
-  FROM (SELECT * FROM ft_vendas WHERE Quant > 0 AND TotLiq > 0) v
+  FROM {sales} v
   JOIN dim_produto dp ON v.IDProduto = dp.IDSK
   JOIN (SELECT IDVendedor, max(IDSK) AS IDSK FROM dim_vendedor GROUP BY 1) m
     ON v.IDVendedor = m.IDVendedor
@@ -24,6 +24,12 @@ sellers AS (
 )
 """
 
+ALL_SALES = "(SELECT * FROM ft_vendas WHERE Quant > 0 AND TotLiq > 0)"
+YEAR_OF_SALES = """(SELECT valid.* FROM valid CROSS JOIN bounds
+  WHERE SaleMonth >= CAST(last_month - INTERVAL 12 MONTH AS DATE))"""
+SELLERS_12 = SELLERS.replace("{sales}", YEAR_OF_SALES)
+SELLERS = SELLERS.replace("{sales}", ALL_SALES)
+
 REPORTS = {
     "sales_history": f"WITH {STAR}, {HISTORY} SELECT * FROM history",
     "product_features": f"WITH {STAR}, {FEATURES} SELECT * FROM features",
@@ -41,6 +47,7 @@ JOIN dim_cliente dc ON dc.IDSK = m.IDSK CROSS JOIN bounds b
 WHERE v.SaleMonth >= CAST(b.last_month - INTERVAL 12 MONTH AS DATE)
 GROUP BY dc.Est, year(v.Data), month(v.Data), quarter(v.Data), v.NomeMes""",
     "seller_performance": f"WITH {STAR}, {SELLERS} SELECT * FROM sellers",
+    "seller_performance_12_months": f"WITH {STAR}, {SELLERS_12} SELECT * FROM sellers",
     "top_sellers": f"""WITH {STAR}, {SELLERS}
 SELECT SellerName, Territory, {CENTS.format('TotalRevenue')} AS TotalRevenue,
   0.0 AS QuotaAttainmentPct

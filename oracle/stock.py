@@ -70,6 +70,9 @@ STOCK = {
     "stock_labels": _HEAD + " SELECT * FROM labelled",
     "stock_label_counts": _HEAD
     + " SELECT StockStatus, count(*) AS products FROM labelled GROUP BY 1",
+    "label_counts_json": _HEAD + """
+SELECT to_json({'StockStatus': StockStatus, 'products': products}) AS record
+FROM (SELECT StockStatus, count(*) AS products FROM labelled GROUP BY 1)""",
     "stock_alerts_rules": _alerts(""),
     "stock_alerts_critical_rules": _alerts("WHERE StockStatus = 'CRITICO'"),
     "stock_status_counts_rules": f"{_HEAD} SELECT count(*) AS total, {_COUNTS} FROM predicted",
