@@ -202,7 +202,8 @@ def forecast_seasonal(model: DataFrame, steps: int = 3) -> DataFrame:
         .withColumn("value", F.col("line") * F.coalesce(
             F.try_element_at("season", F.month("SaleMonth")), F.lit(1.0)))
         .select(
-            "sk_produto", "step", month_text(F.col("SaleMonth")).alias("month"),
+            "sk_produto", F.col("step").cast("long").alias("step"),
+            month_text(F.col("SaleMonth")).alias("month"),
             _count_of(value).alias("forecast"), _count_of(value - spread).alias("lower"),
             _count_of(value + spread).alias("upper"),
         )
@@ -311,7 +312,7 @@ def forecast_recursive(
     carried = ["sk_produto", "last_month", "roll_6", "last_trend", "level"]
     state = forecast_state(_short_history(history, route), compat).withColumn(
         "done", F.array().cast(
-            "array<struct<step:int,month:string,forecast:bigint,lower:bigint,upper:bigint>>"))
+            "array<struct<step:bigint,month:string,forecast:bigint,lower:bigint,upper:bigint>>"))
     for step in range(1, steps + 1):
         month = F.add_months("last_month", step)
         scored = model.transform(
@@ -320,7 +321,7 @@ def forecast_recursive(
         ).withColumn("guess", _count_of(F.col("predicted")))
         guess = F.col("guess")
         entry = F.struct(
-            F.lit(step).alias("step"), month_text(month).alias("month"),
+            F.lit(step).cast("long").alias("step"), month_text(month).alias("month"),
             guess.alias("forecast"), _count_of(guess * BAND_LOW).alias("lower"),
             _count_of(guess * BAND_HIGH).alias("upper"),
         )

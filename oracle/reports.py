@@ -50,7 +50,7 @@ GROUP BY dc.Est, year(v.Data), month(v.Data), quarter(v.Data), v.NomeMes""",
     "seller_performance_12_months": f"WITH {STAR}, {SELLERS_12} SELECT * FROM sellers",
     "top_sellers": f"""WITH {STAR}, {SELLERS}
 SELECT SellerName, Territory, {CENTS.format('TotalRevenue')} AS TotalRevenue,
-  0.0 AS QuotaAttainmentPct
+  CAST(0 AS DOUBLE) AS QuotaAttainmentPct
 FROM (SELECT * FROM sellers ORDER BY TotalRevenue DESC, SellerID LIMIT 5)""",
     "dashboard_kpis": f"""WITH {STAR},
 totals AS (

@@ -18,7 +18,7 @@ labelled AS (
 ),
 predicted AS (
   SELECT sk_produto, ProductID, ProductName, Category, AvgMonthlyQty, TrendPct, SalesConsistency,
-    StockStatus, 100.0 AS Confidence,
+    StockStatus, CAST(100 AS DOUBLE) AS Confidence,
     CASE StockStatus WHEN 'CRITICO' THEN 0 WHEN 'BAIXO' THEN 1 WHEN 'NORMAL' THEN 2 ELSE 3 END
       AS urgency
   FROM labelled
@@ -71,7 +71,7 @@ STOCK = {
     "stock_label_counts": _HEAD
     + " SELECT StockStatus, count(*) AS products FROM labelled GROUP BY 1",
     "label_counts_json": _HEAD + """
-SELECT to_json({'StockStatus': StockStatus, 'products': products}) AS record
+SELECT CAST(to_json({'StockStatus': StockStatus, 'products': products}) AS VARCHAR) AS record
 FROM (SELECT StockStatus, count(*) AS products FROM labelled GROUP BY 1)""",
     "stock_alerts_rules": _alerts(""),
     "stock_alerts_critical_rules": _alerts("WHERE StockStatus = 'CRITICO'"),
