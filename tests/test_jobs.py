@@ -1,6 +1,8 @@
 import json
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from gondola.operators import dashboard, demand, patterns, reports, stock
 from gondola.plans import models
@@ -131,3 +133,58 @@ def test_json_records(spark, star, tmp_path):
     assert json.loads(sellers)["QuotaAttainmentPct"] is None
     write_json_records(kpis, str(tmp_path / "kpis"))
     assert spark.read.json(str(tmp_path / "kpis")).count() == 1
+
+
+def test_join_of_a_hot_product_is_split(spark, star, tmp_path):
+    """With a third of all sales on one product, Spark splits that key's join tasks."""
+    hot = F.when(F.col("IDPed") % 3 == 0, F.lit(2)).otherwise(F.col("IDProduto")).cast("long")
+    skewed = star.ft_vendas.withColumn("IDProduto", hot).repartition(8)
+    skewed.write.parquet(str(tmp_path / "sales"))
+    again = replace(star, ft_vendas=spark.read.parquet(str(tmp_path / "sales")))
+    want = rows(reports.seller_totals(again))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for build in (reports.seller_totals, reports.dashboard_kpis, reports.sales_by_territory):
+            frame = build(again)
+            got = rows(frame)
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin(skew=true)" in plan
+            if build is reports.seller_totals:
+                assert got == want
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_lines_of_a_giant_order_are_split(spark, tmp_path):
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    for name in names:
+        table = spark.read.parquet(f"{SF_DIR}/{name}.parquet")
+        if name == "lineitem":
+            giant = F.when(F.col("l_linenumber") % 3 == 0, F.lit(1)).otherwise(F.col("l_orderkey"))
+            table = table.withColumn("l_orderkey", giant.cast("long")).repartition(8)
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    feed = star_from_orders(spark, str(tmp_path))
+    want = rows(reports.dashboard_kpis(feed))
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        frame = reports.dashboard_kpis(feed)
+        assert rows(frame) == want
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
