@@ -28,28 +28,44 @@ ROWS_AT_ONCE = 64
 CELL = ["label", "cu", "cv"]
 
 
-def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest other points of each query, ties by id."""
-    columns = ["point_id", "neighbour_id", "distance"]
-    if queries.empty or points.empty:
-        return pd.DataFrame(columns=columns)
-    points = points.sort_values("point_id")
-    ids, grid = points["point_id"].to_numpy(), np.stack(points["x"].to_numpy())
-    found = []
-    for start in range(0, len(queries), ROWS_AT_ONCE):
-        some = queries.iloc[start:start + ROWS_AT_ONCE]
-        own = some["point_id"].to_numpy()
-        gap = np.stack(some["x"].to_numpy())[:, None, :] - grid[None, :, :]
-        distance = np.sqrt((gap * gap).sum(axis=2))
-        distance[own[:, None] == ids[None, :]] = np.inf
-        nearest = np.argsort(distance, axis=1, kind="stable")[:, :k]
-        reached = np.take_along_axis(distance, nearest, axis=1)
-        found.append(pd.DataFrame({
-            "point_id": np.repeat(own, nearest.shape[1]),
-            "neighbour_id": ids[nearest].ravel(), "distance": reached.ravel(),
-        }))
-    rows = pd.concat(found)
-    return rows[np.isfinite(rows["distance"])]
+def _chunk_functions(k: int):
+    """The two functions that run on chunks inside tasks.
+
+    They are closures, so Spark ships them whole and workers need not have this package.
+    """
+    def nearest(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest other points of each query, ties by id."""
+        columns = ["point_id", "neighbour_id", "distance"]
+        if queries.empty or points.empty:
+            return pd.DataFrame(columns=columns)
+        points = points.sort_values("point_id")
+        ids, grid = points["point_id"].to_numpy(), np.stack(points["x"].to_numpy())
+        found = []
+        for start in range(0, len(queries), ROWS_AT_ONCE):
+            some = queries.iloc[start:start + ROWS_AT_ONCE]
+            own = some["point_id"].to_numpy()
+            gap = np.stack(some["x"].to_numpy())[:, None, :] - grid[None, :, :]
+            distance = np.sqrt((gap * gap).sum(axis=2))
+            distance[own[:, None] == ids[None, :]] = np.inf
+            order = np.argsort(distance, axis=1, kind="stable")[:, :k]
+            reached = np.take_along_axis(distance, order, axis=1)
+            found.append(pd.DataFrame({
+                "point_id": np.repeat(own, order.shape[1]),
+                "neighbour_id": ids[order].ravel(), "distance": reached.ravel(),
+            }))
+        rows = pd.concat(found)
+        return rows[np.isfinite(rows["distance"])]
+
+    def radius_in_chunk(chunk: pd.DataFrame) -> pd.DataFrame:
+        near = nearest(chunk[chunk["wanted"]], chunk)
+        far = near.groupby("point_id")["distance"].agg(["size", "max"])
+        far = far[far["size"] == k]
+        return pd.DataFrame({"point_id": far.index.to_numpy(), "radius": far["max"].to_numpy()})
+
+    def nearest_in_chunk(queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        return nearest(queries, chunk.rename(columns={"other_id": "point_id", "y": "x"}))
+
+    return radius_in_chunk, nearest_in_chunk
 
 
 def _cell(edges: str, value: Column) -> Column:
@@ -109,15 +125,7 @@ def nearest_in_class(
     ``point_id``. Returns ``point_id``, ``neighbour_id`` and ``distance``; fewer than
     ``k`` rows where a label has no more points.
     """
-    def radius_in_chunk(chunk: pd.DataFrame) -> pd.DataFrame:
-        near = _nearest(chunk[chunk["wanted"]], chunk, k)
-        far = near.groupby("point_id")["distance"].agg(["size", "max"])
-        far = far[far["size"] == k]
-        return pd.DataFrame({"point_id": far.index.to_numpy(), "radius": far["max"].to_numpy()})
-
-    def nearest_in_chunk(queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(queries, chunk.rename(columns={"other_id": "point_id", "y": "x"}), k)
-
+    radius_in_chunk, nearest_in_chunk = _chunk_functions(k)
     placed, lines = _grid(points, cell_points)
     marked = placed.join(
         wanted.select("point_id", F.lit(True).alias("wanted")), "point_id", "left")

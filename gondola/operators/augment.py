@@ -82,12 +82,12 @@ def smote(rows: DataFrame, k_neighbors: int = 3, seed: int = 42) -> DataFrame:
     minority = rows.filter(F.col("label").isin([label for label, _ in short]))
     numbered = numbered_by_hash(
         minority.withColumn("_h", hash_key(seed, "row_id")), "_h", ["label"])
-    points = minority.groupBy("label", "x").agg(
-        F.min("row_id").alias("point_id"), F.count("*").alias("copies"))
-    base = (
+    # Both are read by several of the steps that follow.
+    points = cut_lineage(minority.groupBy("label", "x").agg(
+        F.min("row_id").alias("point_id"), F.count("*").alias("copies")))
+    base = cut_lineage(
         draws.join(numbered.select("label", "row_index", "x"), ["label", "row_index"])
-        .join(points, ["label", "x"])
-    )
+        .join(points, ["label", "x"]))
     near = nearest_in_class(
         points.select("label", "point_id", "x"), base.select("point_id").distinct(), k)
     others = points.select(

@@ -1,6 +1,6 @@
 """The training job: read the star once, store the marts, train what is asked for.
 
-    spark-submit -m gondola.plans.train_all <star folder> <output folder>
+    spark-submit gondola/plans/train_all.py <star folder> <output folder>
 """
 
 from __future__ import annotations
