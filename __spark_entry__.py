@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.functions.lineage import cut_lineage
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from gondola.functions.lineage import checkpoint_dir, cut_lineage
 from gondola.operators import (
     augment,
     dashboard,
@@ -18,6 +23,7 @@ from gondola.operators import (
     reports,
     stock,
 )
+from gondola.plans.train_all import TrainingPlan, train_all
 from gondola.sources.orders_feed import star_from_orders
 from gondola.sources.warehouse import as_json_records
 from oracle.demand import DEMAND_SQL
@@ -31,8 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # once per Spark application and table folder.
 _made: dict[tuple[str, str, str], object] = {}
 
-# Boosting rounds and forest size here keep the check short; the library defaults are
-# 300 and 100.
+# Boosting rounds and forest size here; the library defaults are 300 and 100.
 TREES = demand.TreeSettings(rounds=30)
 FOREST = stock.ForestSettings(trees=30)
 
@@ -170,6 +175,15 @@ def _forecast_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.forecast_product(forecasts, first, 12)
 
 
+def _train(**options) -> Query:
+    """A training job into a folder of its own; the result is its report."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{checkpoint_dir(spark)}/models-{uuid.uuid4()}"
+        return train_all(_star(spark, sf_dir), path, TrainingPlan(
+            trees=demand.TreeSettings(rounds=10), forest=FOREST, **options))
+    return run
+
+
 def queries() -> dict[str, Query]:
     """One entry per query: called with a session and a table folder."""
     return {
@@ -235,6 +249,8 @@ def queries() -> dict[str, Query]:
         "pattern_products": _on(
             _given_segments, patterns.pattern_products, pattern="Venda Sazonal"),
         "dashboard": _dashboard,
+        "train_all": _train(),
+        "train_classifier_only": _train(parts=("stock", "patterns"), augment=False),
     }
 
 

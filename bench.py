@@ -9,7 +9,6 @@ from __future__ import annotations
 import contextlib
 import json
 import os
-import sys
 import tempfile
 import time
 
@@ -100,5 +99,4 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     main()
