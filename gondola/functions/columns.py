@@ -42,7 +42,19 @@ def money(amount: Column) -> Column:
 def round_half_up(value: Column, digits: int) -> Column:
     """Round a double half away from zero, in plain double arithmetic."""
     scale = float(10 ** digits)
-    return F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
+    scaled = F.abs(value) * scale
+    # From 2^52 on a double has no fraction left to round.
+    rounded = F.signum(value) * F.floor(scaled + 0.5) / scale
+    return F.when(scaled < float(2 ** 52), rounded).otherwise(value)
+
+
+def settled(value: Column, digits: int) -> Column:
+    """Round a sum of doubles; twelve decimals first, to be rid of its summing noise.
+
+    Without that a value half way between two results would go either way, by the order
+    in which tasks happened to add.
+    """
+    return round_half_up(round_half_up(value, 12), digits)
 
 
 def pct_change(current: Column, previous: Column) -> Column:

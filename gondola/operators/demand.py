@@ -16,7 +16,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.functions.columns import month_diff, month_text, round_half_up
+from gondola.functions.columns import month_diff, month_text, round_half_up, settled
 from gondola.functions.lineage import cut_lineage
 
 # Months needed for any model and for the seasonal one, share of a
@@ -154,11 +154,11 @@ def seasonal_factors(model: DataFrame) -> DataFrame:
     """The coefficients in long form, one row per product and calendar month."""
     return model.select(
         "sk_produto", "n_months", "first_month", "last_month",
-        round_half_up(F.col("slope"), 6).alias("slope"),
-        round_half_up(F.col("intercept"), 6).alias("intercept"),
-        round_half_up(F.col("sigma"), 6).alias("sigma"),
+        settled(F.col("slope"), 6).alias("slope"),
+        settled(F.col("intercept"), 6).alias("intercept"),
+        settled(F.col("sigma"), 6).alias("sigma"),
         F.explode("season").alias("calendar_month", "factor"),
-    ).withColumn("factor", round_half_up(F.col("factor"), 6)).withColumn(
+    ).withColumn("factor", settled(F.col("factor"), 6)).withColumn(
         "calendar_month", F.col("calendar_month").cast("long"))
 
 
@@ -170,7 +170,7 @@ def seasonal_mae(history: DataFrame) -> DataFrame:
     return (
         _fit_rows(history).withColumn("recent", recent).filter("recent")
         .groupBy("sk_produto")
-        .agg(round_half_up(F.avg(miss), 2).alias("mae"))
+        .agg(settled(F.avg(miss), 2).alias("mae"))
         .select("sk_produto", F.lit("seasonal").alias("model"), "mae")
     )
 
@@ -256,7 +256,7 @@ def tree_mae(model: PipelineModel, rows: DataFrame) -> DataFrame:
     miss = F.when(~F.col("is_train"), F.abs(F.col("TotalQty") - F.col("predicted")))
     return (
         model.transform(rows).groupBy("sk_produto")
-        .agg(round_half_up(F.avg(miss), 2).alias("mae"))
+        .agg(settled(F.avg(miss), 2).alias("mae"))
         .select("sk_produto", F.lit("trees").alias("model"), "mae")
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from gondola.functions.columns import round_half_up
+from gondola.functions.columns import settled
 from gondola.functions.ordering import quantiles
 
 # Feature names and order, and pattern names from high to low volume.
@@ -103,10 +103,10 @@ def pattern_summary(segments: DataFrame) -> DataFrame:
         segments.groupBy(F.col("Pattern").alias("pattern"))
         .agg(
             F.count("*").alias("product_count"),
-            round_half_up(F.avg("AvgMonthlyQty"), 1).alias("avg_monthly_qty"),
-            round_half_up(F.avg("StdDevQty"), 1).alias("avg_variation"),
-            round_half_up(F.avg("AvgMargin"), 2).alias("avg_margin"),
-            round_half_up(F.avg("TrendPct"), 2).alias("avg_trend_pct"),
+            settled(F.avg("AvgMonthlyQty"), 1).alias("avg_monthly_qty"),
+            settled(F.avg("StdDevQty"), 1).alias("avg_variation"),
+            settled(F.avg("AvgMargin"), 2).alias("avg_margin"),
+            settled(F.avg("TrendPct"), 2).alias("avg_trend_pct"),
         )
         .orderBy(F.desc("avg_monthly_qty"), "pattern")
     )

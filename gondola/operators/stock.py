@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.functions.columns import hash_key, round_half_up
+from gondola.functions.columns import hash_key, round_half_up, settled
 from gondola.functions.lineage import cut_lineage
 from gondola.functions.ordering import numbered_by_hash, quantiles
 from gondola.operators.augment import augment_classifier
@@ -225,8 +225,8 @@ def feature_summary(features: DataFrame, column: str = "TotalQty12m") -> DataFra
     value = F.col(column)
     return features.agg(
         F.count(value).alias("count"),
-        round_half_up(F.avg(value), 6).alias("mean"),
-        round_half_up(F.stddev_samp(value), 6).alias("std"),
+        settled(F.avg(value), 6).alias("mean"),
+        settled(F.stddev_samp(value), 6).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"),
         F.count(F.when(value == 0, 1)).alias("zeros"),
     ).select("*", *[

@@ -77,6 +77,11 @@ forecast AS (
 SIX = "sign({0}) * floor(abs({0}) * 1000000.0 + 0.5) / 1000000.0"
 
 
+def _settled(value: str, scale: str) -> str:
+    first = f"(sign({value}) * floor(abs({value}) * 1e12 + 0.5) / 1e12)"
+    return f"sign({first}) * floor(abs({first}) * {scale} + 0.5) / {scale}"
+
+
 WHOLE = "CAST(greatest(round_even({0}, 0), 0) AS BIGINT)"
 
 
@@ -94,13 +99,12 @@ SELECT *, row_number() OVER (PARTITION BY sk_produto ORDER BY SaleMonth)
   <= greatest(1, floor(count(*) OVER (PARTITION BY sk_produto) * 0.8)) AS is_train FROM demand""",
     "train_seasonal": _season(1) + f"""
 SELECT DISTINCT f.sk_produto, n_months, first_month, last_month,
-  {SIX.format('slope')} AS slope, {SIX.format('intercept')} AS intercept,
-  {SIX.format('sigma')} AS sigma, month(SaleMonth) AS calendar_month,
-  {SIX.format('factor')} AS factor
+  {_settled('slope', '1e6')} AS slope, {_settled('intercept', '1e6')} AS intercept,
+  {_settled('sigma', '1e6')} AS sigma, month(SaleMonth) AS calendar_month,
+  {_settled('factor', '1e6')} AS factor
 FROM fitted f JOIN spread s ON f.sk_produto = s.sk_produto""",
-    "seasonal_mae": _season(1) + """
-SELECT sk_produto, 'seasonal' AS model,
-  sign(avg(miss)) * floor(abs(avg(miss)) * 100.0 + 0.5) / 100.0 AS mae
+    "seasonal_mae": _season(1) + f"""
+SELECT sk_produto, 'seasonal' AS model, {_settled('avg(miss)', '100.0')} AS mae
 FROM (SELECT sk_produto, abs(y - fit) AS miss,
         row_number() OVER (PARTITION BY sk_produto ORDER BY SaleMonth DESC) AS r FROM fitted)
 WHERE r <= 3 GROUP BY sk_produto""",

@@ -53,6 +53,10 @@ def _round(value: str, scale: str) -> str:
     return f"sign({value}) * floor(abs({value}) * {scale} + 0.5) / {scale}"
 
 
+def _settled(value: str, scale: str) -> str:
+    return _round("(" + _round(value, "1e12") + ")", scale)
+
+
 def _alerts(where: str) -> str:
     return f"""{_HEAD}
 SELECT sk_produto, ProductID, ProductName, Category, {_round('AvgMonthlyQty', '10.0')}
@@ -79,8 +83,8 @@ FROM (SELECT StockStatus, count(*) AS products FROM labelled GROUP BY 1)""",
     "stock_top_critical_rules": _top("CRITICO"),
     "stock_top_normal_rules": _top("NORMAL"),
     "feature_summary": f"""WITH {STAR}, {FEATURES}
-SELECT count(TotalQty12m) AS count, {_round('avg(TotalQty12m)', '1000000.0')} AS mean,
-  {_round('stddev_samp(TotalQty12m)', '1000000.0')} AS std, min(TotalQty12m) AS min,
+SELECT count(TotalQty12m) AS count, {_settled('avg(TotalQty12m)', '1000000.0')} AS mean,
+  {_settled('stddev_samp(TotalQty12m)', '1000000.0')} AS std, min(TotalQty12m) AS min,
   max(TotalQty12m) AS max, count(CASE WHEN TotalQty12m = 0 THEN 1 END) AS zeros,
   quantile_cont(TotalQty12m, 0.25) AS q25, quantile_cont(TotalQty12m, 0.5) AS q50,
   quantile_cont(TotalQty12m, 0.75) AS q75
@@ -117,10 +121,10 @@ UNION ALL SELECT 'weighted avg', {_round('(sum(p * support) / sum(support))', '1
     "pattern_labels": f"WITH {STAR}, {FEATURES}, {CLUSTERED} SELECT * FROM named",
     "pattern_summary": f"""WITH {STAR}, {FEATURES}, {CLUSTERED}
 SELECT n.Pattern AS pattern, count(*) AS product_count,
-  {_round('avg(AvgMonthlyQty)', '10.0')} AS avg_monthly_qty,
-  {_round('avg(StdDevQty)', '10.0')} AS avg_variation,
-  {_round('avg(AvgMargin)', '100.0')} AS avg_margin,
-  {_round('avg(TrendPct)', '100.0')} AS avg_trend_pct
+  {_settled('avg(AvgMonthlyQty)', '10.0')} AS avg_monthly_qty,
+  {_settled('avg(StdDevQty)', '10.0')} AS avg_variation,
+  {_settled('avg(AvgMargin)', '100.0')} AS avg_margin,
+  {_settled('avg(TrendPct)', '100.0')} AS avg_trend_pct
 FROM clustered c JOIN named n ON c.Cluster = n.Cluster GROUP BY n.Pattern""",
     "pattern_products": f"""WITH {STAR}, {FEATURES}, {CLUSTERED}
 SELECT sk_produto, ProductID, ProductName, Category, Subcategory, AvgMonthlyQty, TrendPct, Pattern

@@ -12,6 +12,7 @@ from gondola.functions.columns import (
     month_diff,
     pct_change,
     round_half_up,
+    settled,
 )
 from gondola.functions.neighbours import nearest_in_class
 
@@ -28,6 +29,17 @@ def test_rounding_and_change(spark):
     assert [tuple(r) for r in rows.collect()] == [(3.0, 25.0), (-3.0, None)]
 
 
+def test_rounding_large_values_and_noise(spark):
+    rows = spark.createDataFrame([(9e17 + 256, 0.1 * 3 + 0.0), (-1e300, 2.675)],
+                                 "a double, b double").select(
+        round_half_up(F.col("a"), 6).alias("r"),
+        settled((F.col("b") + 1e-15), 3).alias("s")).collect()
+    assert [r.r for r in rows] == [9e17 + 256, -1e300]
+    assert [r.s for r in rows] == [0.3, 2.675]
+    noisy = spark.createDataFrame([(0.6890625,), (0.6890625 - 1e-16,)], "x double")
+    assert noisy.select(settled(F.col("x"), 6)).distinct().count() == 1
+
+
 def test_draws_follow_their_distributions(spark):
     rows = spark.range(20_000).select(
         hash_uniform(1, "id").alias("u"), hash_normal(1, "id").alias("n"),
