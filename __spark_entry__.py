@@ -175,6 +175,25 @@ def _forecast_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.forecast_product(forecasts, first, 12)
 
 
+def _dashboard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard on rule labels and given clusters, one figure of each part."""
+    row = dashboard.dashboard(
+        _star(spark, sf_dir), _features(spark, sf_dir), _rules(spark, sf_dir),
+        _given_segments(spark, sf_dir))
+    first = {name: F.get(name, F.lit(0)) for name in ("stock.top_critical", "patterns",
+                                                      "top_sellers")}
+    return row.select(
+        "kpis.total_revenue", "kpis.total_orders", "kpis.reference_month",
+        "stock.critical", "stock.low", "stock.normal", "stock.inactive",
+        first["stock.top_critical"]["sk_produto"].alias("first_critical"),
+        first["patterns"]["pattern"].alias("first_pattern"),
+        first["patterns"]["product_count"].alias("first_pattern_products"),
+        first["top_sellers"]["SellerName"].alias("first_seller"),
+        first["top_sellers"]["TotalRevenue"].alias("first_seller_revenue"),
+        "total_products",
+    )
+
+
 def _train(**options) -> Query:
     """A training job into a folder of its own; the result is its report."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,6 +268,7 @@ def queries() -> dict[str, Query]:
         "pattern_products": _on(
             _given_segments, patterns.pattern_products, pattern="Venda Sazonal"),
         "dashboard": _dashboard,
+        "dashboard_rules": _dashboard_rules,
         "train_all": _train(),
         "train_classifier_only": _train(parts=("stock", "patterns"), augment=False),
     }

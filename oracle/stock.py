@@ -1,5 +1,6 @@
 """SQL for stock labels, alerts on rule labels, class report, and patterns on given clusters."""
 
+from oracle.reports import SELLERS
 from oracle.star import FEATURES, STAR
 
 LABELLED = """
@@ -129,4 +130,31 @@ FROM clustered c JOIN named n ON c.Cluster = n.Cluster GROUP BY n.Pattern""",
     "pattern_products": f"""WITH {STAR}, {FEATURES}, {CLUSTERED}
 SELECT sk_produto, ProductID, ProductName, Category, Subcategory, AvgMonthlyQty, TrendPct, Pattern
 FROM clustered c JOIN named n ON c.Cluster = n.Cluster WHERE Pattern = 'Venda Sazonal'""",
+    "dashboard_rules": f"""{_HEAD}, {CLUSTERED}, {SELLERS},
+kpis AS (
+  SELECT {_round('CAST(round(sum(v.TotLiq), 4) AS DOUBLE)', '100.0')} AS total_revenue,
+    count(DISTINCT v.IDPed) AS total_orders, strftime(max(b.last_day), '%Y-%m') AS reference_month
+  FROM valid v JOIN dim_produto dp ON v.IDProduto = dp.IDSK CROSS JOIN bounds b
+),
+counts AS (SELECT {_COUNTS} FROM predicted),
+top_critical AS (
+  SELECT sk_produto FROM predicted WHERE StockStatus = 'CRITICO'
+  ORDER BY TrendPct, sk_produto LIMIT 1
+),
+top_pattern AS (
+  SELECT n.Pattern AS pattern, count(*) AS products FROM clustered c JOIN named n
+    ON c.Cluster = n.Cluster
+  GROUP BY 1 ORDER BY {_settled('avg(AvgMonthlyQty)', '10.0')} DESC, 1 DESC LIMIT 1
+),
+top_seller AS (
+  SELECT SellerName, {_round('TotalRevenue', '100.0')} AS revenue FROM sellers
+  ORDER BY TotalRevenue DESC, SellerID LIMIT 1
+)
+SELECT k.*, c.*, (SELECT sk_produto FROM top_critical) AS first_critical,
+  (SELECT pattern FROM top_pattern) AS first_pattern,
+  (SELECT products FROM top_pattern) AS first_pattern_products,
+  (SELECT SellerName FROM top_seller) AS first_seller,
+  (SELECT revenue FROM top_seller) AS first_seller_revenue,
+  (SELECT count(*) FROM features) AS total_products
+FROM kpis k CROSS JOIN counts c""",
 }
