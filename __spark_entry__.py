@@ -31,6 +31,14 @@ from oracle.quality import QUALITY
 from oracle.reports import REPORTS
 from oracle.stock import STOCK
 
+try:
+    from corpus_pipeline import run as run_pipeline
+    from gondola.llm import queries as llm
+except ModuleNotFoundError as missing:  # the folders and the pipeline may be absent
+    if missing.name not in ("gondola.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Marts and models are read several times by the queries built on them. Each is made
@@ -205,7 +213,9 @@ def _train(**options) -> Query:
 
 def queries() -> dict[str, Query]:
     """One entry per query: called with a session and a table folder."""
+    extra = {} if llm is None else {**llm.queries(), "pipeline": run_pipeline}
     return {
+        **extra,
         "sales_history": _on_star(reports.sales_history),
         "product_features": _on_star(reports.product_features),
         "sales_by_territory": _on_star(reports.sales_by_territory),
@@ -276,4 +286,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL, where SQL can express them."""
-    return {**REPORTS, **QUALITY, **DEMAND_SQL, **STOCK}
+    extra = {} if llm is None else llm.oracle_sql()
+    return {**extra, **REPORTS, **QUALITY, **DEMAND_SQL, **STOCK}
