@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gondola.llm import byte_bpe, language_id, secret_scan, simhash
+from gondola.functions.lineage import checkpoint_dir
+from gondola.llm import (
+    byte_bpe,
+    decontaminate,
+    language_id,
+    license_scan,
+    secret_scan,
+    simhash,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,14 +35,41 @@ def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(_table(spark, sf_dir, "documents"),
+                                       _table(spark, sf_dir, "benchmark"))
+
+
+def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"),
+                               f"{checkpoint_dir(spark)}/warc-{uuid.uuid4()}").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Responses and revisits by window: the largest key of each repeated payload.
+WARC_SQL = """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 1000 OR page_id = largest THEN 'response' ELSE 'revisit' END
+           AS record_type,
+       CASE WHEN payload_bytes < 1000 OR page_id = largest THEN NULL ELSE largest END AS refers_to
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+             sha1(coalesce(html, '')) AS payload_digest,
+             max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS largest
+      FROM pages)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_language_id": _on_documents(language_id.languages_of),
         "op3_simhash": _on_documents(simhash.simhash_components),
+        "op5_decontaminate": _passages,
         "op7_secret_scan": _on_documents(secret_scan.secret_digests),
         "op8_byte_bpe": _bpe,
+        "op9_warc": _warc,
+        "op10_license_scan": _on_documents(license_scan.find_licenses),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": WARC_SQL}
