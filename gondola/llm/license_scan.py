@@ -149,6 +149,7 @@ class Template:
                 break
             self.telling.add(word)
             spare -= counts[word]
+        self.places = {w: [k for k, x in enumerate(self.words) if x == w] for w in self.telling}
 
     def stretches(self, words: list[str], places: dict[str, list[int]]) -> list[tuple[int, int]]:
         """Where the template may lie: around telling words, touching ones together."""
@@ -166,7 +167,7 @@ class Template:
         """Alignments in a stretch with enough coverage: first word, end word, coverage.
 
         Where the template occurs more than once, no word of it may be unique in the whole
-        stretch, so it is taken in windows of about the template's length, about each
+        stretch, so it is taken in windows of about the template's length, laid by each
         telling word in turn.
         """
         size, out, at = len(self.words), [], low
@@ -174,11 +175,13 @@ class Template:
             first = next((k for k in range(at, high) if words[k] in self.telling), None)
             if first is None:
                 break
-            stop = min(high, first + size + size // 4 + 1)
             best = None
-            for begin in {max(at, first - size), first}:
-                pairs = align(self.words, words[begin:stop])
-                if pairs:
+            for place in self.places[words[first]]:
+                begin = max(at, first - place - 2)
+                for slack in (4, 4 + size // 4):
+                    pairs = align(self.words, words[begin:min(high, begin + size + slack)])
+                    if not pairs:
+                        continue
                     a, b = begin + pairs[0][1], begin + pairs[-1][1] + 1
                     coverage = len(pairs) / size
                     if b - a <= 1.5 * size and (best is None or (coverage, a - b) > (

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gondola.functions.lineage import checkpoint_dir
 from gondola.llm import (
     byte_bpe,
+    chunk_fingerprints,
     decontaminate,
     language_id,
     license_scan,
@@ -64,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op2_language_id": _on_documents(language_id.languages_of),
         "op3_simhash": _on_documents(simhash.simhash_components),
         "op5_decontaminate": _passages,
+        "op6_fingerprints": _on_documents(chunk_fingerprints.edited_fingerprints),
         "op7_secret_scan": _on_documents(secret_scan.secret_digests),
         "op8_byte_bpe": _bpe,
         "op9_warc": _warc,
