@@ -262,13 +262,15 @@ class BytePairs:
 class Encoder:
     """Encodes texts and remembers the runs it has met, a bounded number of them."""
 
-    def __init__(self, pairs: BytePairs):
+    def __init__(self, pairs: BytePairs, special: bool = True):
+        """Without ``special`` the special tokens' strings are ordinary text."""
         self.pairs = pairs
         self.words = regex.compile(WORDS)
         self.runs = regex.compile(RUNS)
-        special = sorted(pairs.special, key=len, reverse=True)
-        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
-        self.odd = re.compile("[" + ODD_SPACE + "]|" + "|".join(map(re.escape, special)))
+        strings = sorted(pairs.special, key=len, reverse=True) if special else []
+        either = "|".join(map(re.escape, strings)) or "(?!)"
+        self.special = re.compile(f"({either})")
+        self.odd = re.compile(f"[{ODD_SPACE}]|{either}")
         self.hash = SpanHash()
         self.by_run: dict[int, bytes] = {}
         self.by_word: dict[str, bytes] = {}
