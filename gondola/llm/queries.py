@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gondola.functions.lineage import checkpoint_dir
 from gondola.llm import (
+    attention_lm,
     byte_bpe,
     chunk_fingerprints,
     decontaminate,
@@ -36,6 +37,11 @@ def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(_table(spark, sf_dir, "documents"),
+                                    public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(_table(spark, sf_dir, "documents"),
                                        _table(spark, sf_dir, "benchmark"))
@@ -64,6 +70,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_language_id": _on_documents(language_id.languages_of),
         "op3_simhash": _on_documents(simhash.simhash_components),
+        "op4_attention_lm": _attention,
         "op5_decontaminate": _passages,
         "op6_fingerprints": _on_documents(chunk_fingerprints.edited_fingerprints),
         "op7_secret_scan": _on_documents(secret_scan.secret_digests),
