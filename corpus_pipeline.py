@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gondola.functions.lineage import checkpoint_dir
-from gondola.llm import byte_bpe, language_id, secret_scan, simhash
+from gondola.llm import byte_bpe, decontaminate, language_id, secret_scan, simhash
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one_of_each(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of the benchmark."""
+    return decontaminate.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts."""
     return secret_scan.redact(docs)
@@ -41,6 +46,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("language_id", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
     ("secrets", redact_secrets),
     ("encode", encode_texts),
 ]

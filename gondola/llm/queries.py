@@ -18,6 +18,7 @@ from gondola.llm import (
     license_scan,
     secret_scan,
     simhash,
+    substring_dedup,
     warc,
 )
 
@@ -68,6 +69,7 @@ FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": _on_documents(substring_dedup.passage_classes),
         "op2_language_id": _on_documents(language_id.languages_of),
         "op3_simhash": _on_documents(simhash.simhash_components),
         "op4_attention_lm": _attention,
