@@ -1,0 +1,256 @@
+"""Per-text operators against brute force, other libraries, and odd tables."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from gondola.llm import byte_bpe, chunk_fingerprints, decontaminate, language_id, license_scan, secret_scan
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id long, text string, ids int, spans string, bucket string"
+ODD = [(None, None, 1, "x", "y"), (1, "", 2, "x", "y"), (2, "a b", 3, "x", "y"), (2, "a b", 3, "x", "y"),
+       (3, "password=abcd1234 " + "wörd " * 60_000, 4, "x", "y"), (None, "Ünï  \t\r\n x", 5, None, None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# Encoding
+
+@pytest.fixture(scope="module")
+def pairs():
+    return byte_bpe.BytePairs(PATH)
+
+
+def test_ids_are_those_of_the_tokenizers_library(pairs):
+    known = Tokenizer.from_file(PATH)
+    draw = random.Random(1)
+    texts = ["", " ", "  a  b ", "a\n\n b\t\tc \n", "<|endoftext|>x<|endoftext|> y", "a\x1cb \x1c c\x85d　 e",
+             "it's I'LL don't 'sX", "²½ Ⅷ 12 a1b2", "日本語 テスト 🎉🎉", "a" * 500, "ab" * 3000 + " " * 70 + "x", "é" * 100]
+    texts += ["".join(draw.choice([*"ab  \n\t'sté1²,. 日🎉AB", "<|endoftext|>"])
+                      for _ in range(draw.randint(1, 40))) for _ in range(2000)]
+    encoder = byte_bpe.Encoder(pairs)
+    ids, ends = encoder.encode(pa.array(texts))
+    decoded = pairs.decode(ids, ends).to_pylist()
+    for k, text in enumerate(texts):
+        want = known.encode(text, add_special_tokens=False).ids
+        assert ids[ends[k]:ends[k + 1]].tolist() == want
+        assert decoded[k] == known.decode(want, skip_special_tokens=False)
+
+
+def test_trees_of_all_widths_agree(pairs):
+    draw = random.Random(2)
+    for width in (1, 3, 4, 5, 9, 17, 33, 64, 65, 200):
+        word = bytes(draw.choice(b"thean ") for _ in range(width))
+        assert pairs.encode_words([word])[0] == pairs._alone(word)
+
+
+def test_forgetting_words_changes_nothing(pairs, monkeypatch):
+    texts = pa.array(["the cat sat", "on the mat", "the end"] * 3)
+    want = byte_bpe.Encoder(pairs).encode(texts)[0].tolist()
+    monkeypatch.setattr(byte_bpe, "KEPT_WORDS", 2)
+    assert byte_bpe.Encoder(pairs).encode(texts)[0].tolist() == want
+
+
+def test_round_trip_of_odd_rows(odd):
+    rows = byte_bpe.round_trip_digests(odd, PATH).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert sorted(r.decoded_sha256 for r in rows) == sorted(sha((t or "").encode()) for _, t, *_ in ODD)
+    empty = [r for r in rows if r.n_tokens == 0]
+    assert len(empty) == 2 and {r.ids_sha256 for r in empty} == {sha(b"")}
+    tokens = byte_bpe.encode(odd, PATH)
+    assert sorted(r.text for r in byte_bpe.decode(tokens, PATH).collect()) == sorted(
+        t or "" for _, t, *_ in ODD)
+    assert byte_bpe.round_trip_digests(odd.where("doc_id > 99"), PATH).count() == 0
+
+
+# Languages
+
+def test_held_out_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.languages_of(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 100 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_labels_are_viterbi_labels(spark, docs):
+    model = language_id.fit(docs)
+    words = language_id.Words(pa.array([r.text for r in docs.select("text").collect()][:60]))
+    got, scores = model.label_words(words), model.word_scores(words)
+    n = len(model.languages)
+    for text in range(60):
+        at = np.flatnonzero(words.text == text)
+        best, came = scores[at[0]].copy(), []
+        for k in at[1:]:
+            switched = best.max() - language_id.SWITCH
+            came.append(np.where(best >= switched, np.arange(n), best.argmax()))
+            best = np.maximum(best, switched) + scores[k]
+        path = [int(best.argmax())]
+        for step in came[::-1]:
+            path.append(int(step[path[-1]]))
+        assert got[at].tolist() == path[::-1]
+
+
+def test_spans_of_mixed_text_and_texts_without_letters(spark, docs, odd):
+    model = language_id.fit(docs)
+    longest = {lang: docs.where(f"lang = '{lang}'").orderBy("doc_id").first().text[:300] for lang in ("en", "es")}
+    mixed = spark.createDataFrame([(1, longest["en"] + " " + longest["es"])], "doc_id long, text string")
+    spans = language_id.label_spans(mixed, model).orderBy("start").collect()
+    assert [spans[0].lang, spans[-1].lang] == ["en", "es"]
+    rows = language_id.identify(odd, model).collect()
+    assert len(rows) == len(ODD)
+    assert sum(r.lang_pred == "und" and r.score == 0 for r in rows) == 2
+    assert language_id.fit(odd.withColumn("lang", odd.spans.substr(9, 1)).where("1 = 0")) is None
+    assert {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
+    assert language_id.keep_identified(odd, model, 0.0).columns == odd.columns
+
+
+# Passages of a benchmark
+
+def edit_distance_to_any_stretch(pattern, text):
+    row = [0] * (len(text) + 1)
+    for k, a in enumerate(pattern, 1):
+        now = [k]
+        for j, b in enumerate(text, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (a != b)))
+        row = now
+    return min(row)
+
+
+def test_passages_against_edit_distance():
+    draw = random.Random(5)
+    met = 0
+    for _ in range(250):
+        item = decontaminate.normal("".join(draw.choice("abcd ") for _ in range(draw.randint(1, 90)))) or "a"
+        edited = list(item)
+        for _ in range(draw.randint(0, len(item) // 10 + 1)):
+            k = draw.randrange(len(edited) + 1)
+            edited[k:k + draw.randint(0, 1)] = draw.choice(["", "e", "a"])
+        pad = lambda: "".join(draw.choice("abcd ") for _ in range(draw.randint(0, 80)))
+        text = decontaminate.normal(pad() + "".join(edited) + pad())
+        least = edit_distance_to_any_stretch(item, text)
+        got = decontaminate.Searcher([(1, item)]).matches(text)
+        assert bool(got) == (least <= decontaminate.Item(1, item).budget)
+        if got:
+            _, start, end, distance = got[0]
+            assert edit_distance_to_any_stretch(item, text[start:end]) <= distance
+            met += 1
+    assert met > 50
+
+
+def test_passages_in_blocks_and_odd_rows(spark, odd, monkeypatch):
+    items = spark.createDataFrame([(1, "Wörd  wörd wörd"), (None, "password=ABCD1234"), (3, None), (4, " "),
+                                   (1, "Wörd  wörd wörd")], "item_id long, text string")
+    want = [(3, None, 0, 17, 0), (3, 1, 18, 32, 0), (3, 1, 18, 32, 0)]
+    for size in (1 << 20, 10):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = [tuple(r) for r in decontaminate.find_passages(odd, items).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        kept = decontaminate.without_passages(odd, items)
+        assert kept.columns == odd.columns and kept.count() == len(ODD) - 1
+    assert decontaminate.find_passages(odd, items.where("1 = 0")).count() == 0
+
+
+# Chunk fingerprints
+
+def test_edited_texts_and_next_rows(spark):
+    rows = [(None, None), (None, "abc def ghij"), (5, ""), (5, "x" * 100), (5, "x" * 100), (7, "é" * 50),
+            (9, "q" * 5000), (9, "a b c")]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for k, (key, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(text) // 4
+        edited = text[:len(text) - cut] + after[:cut]
+        want.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for per_bucket in (1, 3, 100):
+        got = chunk_fingerprints.edited_fingerprints(table, per_bucket).collect()
+        assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+    assert chunk_fingerprints.edited_fingerprints(table.where("doc_id > 99")).count() == 0
+
+
+def test_fingerprints_survive_shifts(docs):
+    texts = [r.text for r in docs.collect() if len(r.text) > 3000][:20]
+    chunker = chunk_fingerprints.Chunker()
+    plain = chunker.fingerprints(pa.array(texts))
+    moved = chunker.fingerprints(pa.array(["some words before " + t for t in texts]))
+    assert all(chunk_fingerprints.likeness(a, b) > 0.9 for a, b in zip(plain, moved))
+    assert all(chunk_fingerprints.likeness(a, b) < 0.2 for a, b in zip(plain, plain[1:]))
+    for text, chunks in zip(texts, plain):
+        assert sum(chunks.values()) <= len(text.encode())
+        assert all(n <= chunk_fingerprints.MOST for n in chunks.values())
+
+
+# Secrets
+
+def test_fixed_patterns_by_plain_regular_expressions(docs):
+    whole = re.compile(r"[0-9a-f]+")
+    for row in docs.collect():
+        want = [(*m.span(), "hex") for m in whole.finditer(row.text) if len(m[0]) >= 32]
+        want += [(*m.span(), "assign") for m in secret_scan.ASSIGN.finditer(row.text) if len(m[2]) >= 8]
+        want += [(*m.span(), "access") for m in secret_scan.ACCESS.finditer(row.text) if len(m[0]) >= 16]
+        got = [s[:3] for s in secret_scan.spans_of(row.text) if s[2] != "literal"]
+        assert sorted(got) == sorted(want)
+
+
+def test_constants_reach_sensitive_names():
+    text = 'k = "Zx81kLmq09PqRs"\ndb_password = k\nname = "Zx81kLmq09PqXX"\nprivateKey: q9W8e7R6t5Y4u3'
+    found = [(text[s:e], name) for s, e, kind, name, _ in secret_scan.spans_of(text) if kind == "literal"]
+    assert found == [("Zx81kLmq09PqRs", "db_password"), ("q9W8e7R6t5Y4u3", "privateKey")]
+
+
+def test_long_s_is_no_s():
+    assert secret_scan.spans_of("paſſword=abcdefgh") == []
+
+
+def test_secret_digests_and_redaction_of_odd_rows(odd):
+    rows = {(r.doc_id, r.n_assign, r.spans) for r in secret_scan.secret_digests(odd).collect()}
+    assert rows == {(None, 0, ""), (1, 0, ""), (2, 0, ""), (3, 1, "assign:0:17")}
+    clean = secret_scan.redact(odd)
+    assert clean.columns == odd.columns
+    texts = [r.text for r in clean.collect()]
+    assert len(texts) == len(ODD) and None in texts
+    assert not any("abcd1234" in (t or "") for t in texts)
+
+
+# Licences
+
+def test_longest_increasing_run():
+    draw = random.Random(3)
+    for _ in range(200):
+        places = draw.sample(range(12), draw.randint(0, 9))
+        got = license_scan.increasing(places)
+        assert all(places[a] < places[b] and a < b for a, b in zip(got, got[1:]))
+        best = [1] * len(places)
+        for k in range(len(places)):
+            best[k] = 1 + max([best[j] for j in range(k) if places[j] < places[k]], default=0)
+        assert len(got) == max(best, default=0)
+
+
+def test_licences_whole_edited_twice_and_missing(odd):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    mit = license_scan.TEMPLATES["MIT"]
+    edited = mit.replace("sublicense", "X").replace("merge", "foo bar")
+    found = scanner.scan(f"foo {mit} bar {edited} baz")
+    assert [f[0] for f in found] == ["MIT", "MIT"] and found[0][3] == 1.0 and 0.9 < found[1][3] < 1.0
+    for name, text in license_scan.TEMPLATES.items():
+        assert name in [f[0] for f in scanner.scan("Some words here. " + text + " More words.")]
+        words = text.split()
+        assert not scanner.scan(" ".join(words[:len(words) // 3])) or len(words) > 15
+    assert license_scan.find_licenses(odd).count() == 0
+    assert scanner.scan("license " * 5000) == []
