@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from gondola.functions.columns import settled
 from gondola.functions.lineage import checkpoint_dir, cut_lineage
 from gondola.operators import (
     augment,
@@ -41,14 +42,10 @@ except ModuleNotFoundError as missing:  # the folders and the pipeline may be ab
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Marts and models are read several times by the queries built on them. Each is made
-# once per Spark application and table folder.
+# Marts and models are read several times by the queries built on them. Each is made once
+# per Spark application and table folder; the tables of a folder do not change meanwhile.
 _made: dict[tuple[str, str, str], object] = {}
 
-# Boosting rounds and forest size here; the library defaults are 300 and 100.
-TREES = demand.TreeSettings(rounds=30)
-FOREST = stock.ForestSettings(trees=30)
-
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -58,6 +55,9 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object
 
 
 def _star(spark: SparkSession, sf_dir: str):
+    # Later steps reuse the partitioning by order; this lets Spark split a giant order's
+    # lines all the same, at the price of a shuffle that only skewed data pays.
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return star_from_orders(spark, sf_dir)
 
 
@@ -73,7 +73,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trees(spark: SparkSession, sf_dir: str):
     return _once(spark, sf_dir, "trees", lambda: demand.train_demand(
-        demand.tree_rows(_history(spark, sf_dir)), TREES))
+        demand.tree_rows(_history(spark, sf_dir))))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _classifier(spark: SparkSession, sf_dir: str, augmented: bool = False):
     return _once(spark, sf_dir, f"classifier {augmented}", lambda: stock.train_stock(
-        _labelled(spark, sf_dir), augment=augmented, settings=FOREST))
+        _labelled(spark, sf_dir), augment=augmented))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +160,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _train_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = demand.tree_rows(_history(spark, sf_dir))
-    return demand.tree_mae(_trees(spark, sf_dir), rows)
+    history = _history(spark, sf_dir)
+    return demand.tree_mae(_trees(spark, sf_dir), demand.tree_rows(history),
+                           demand.with_month_count(history))
 
 
 def _demand_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +179,81 @@ def _seasonal(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
 
 
 def _forecast_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forecasts = _seasonal(spark, sf_dir, 12)
-    first = forecasts.select(F.min("sk_produto")).scalar()
-    return demand.forecast_product(forecasts, first, 12)
+    first = _seasonal(spark, sf_dir, 1).select(F.min("sk_produto")).scalar()
+    return demand.forecast_product(_forecast_all(spark, sf_dir, 12), first, 12)
+
+
+def _forecast_short_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product that the trees forecast."""
+    trained = _trained_products(spark, sf_dir).where("model = 'trees'")
+    first = trained.select(F.min("sk_produto")).scalar()
+    return demand.forecast_product(_forecast_all(spark, sf_dir, 12), first, 12)
+
+
+def _trained_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _demand_mae(spark, sf_dir).select(
+        "sk_produto", "model", F.col("mae").isNotNull().alias("has_error"))
+
+
+def _six(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: settled(F.col(c), 6) for c in columns})
+
+
+def _tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(demand.tree_rows(_history(spark, sf_dir)), "roll_3", "roll_6", "level")
+
+
+def _state(compat: bool) -> Query:
+    return lambda spark, sf_dir: _six(
+        demand.forecast_state(_history(spark, sf_dir), compat), "roll_3", "roll_6", "level")
+
+
+def _forecast_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is forecast, and whether each forecast lies in its band."""
+    low, mid, high = F.col("lower"), F.col("forecast"), F.col("upper")
+    return _forecast_all(spark, sf_dir).select(
+        "sk_produto", "step", "month", ((0 <= low) & (low <= mid) & (mid <= high)).alias("band_holds"))
+
+
+def _gaussian_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each product's series and its copies, and how many are the given ones."""
+    history = _history(spark, sf_dir)
+    noisy = augment.augment_gaussian(history, keep_copy=True)
+    given = history.select("sk_produto", "SaleMonth", "TotalQty", "TotalRevenue", F.lit(0).alias("copy"),
+                           F.lit(1).alias("kept"))
+    return noisy.join(given, ["sk_produto", "SaleMonth", "TotalQty", "TotalRevenue", "copy"], "left").groupBy(
+        "sk_produto").agg(F.count("*").alias("series_rows"), F.count("kept").alias("unchanged"))
+
+
+def _balanced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augment.smote(_vectors(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("products"))
+
+
+def _mixed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after mixing, how many of them are the given ones, and labels not known before."""
+    vectors = _vectors(spark, sf_dir)
+    known = vectors.select("label").distinct().withColumn("known", F.lit(1))
+    given = vectors.select("row_id", "label", "x").withColumn("given", F.lit(1))
+    return augment.mixup(vectors).join(given, ["row_id", "label", "x"], "left").join(known, "label", "left").agg(
+        F.count("*").alias("row_total"), F.count("given").alias("given"),
+        F.count(F.when(F.col("known").isNull(), 1)).alias("new_labels"))
+
+
+def _split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stock.stratified_split(_vectors(spark, sf_dir)).groupBy("label", "is_train").agg(
+        F.count("*").alias("products"))
+
+
+def _predicted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with a prediction, and whether label and confidence are possible ones."""
+    known = F.col("StockStatus").isin(list(stock.PRIORITY)) & F.col("Confidence").between(25.0, 100.0)
+    return _predictions(spark, sf_dir).select("sk_produto", known.alias("possible"))
+
+
+def _pattern_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of all patterns, and in how many patterns each is."""
+    return _segments(spark, sf_dir).groupBy("sk_produto").agg(
+        F.count_distinct("Pattern").alias("patterns"), F.count("*").alias("rows_of_it"))
 
 
 def _dashboard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +280,7 @@ def _train(**options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{checkpoint_dir(spark)}/models-{uuid.uuid4()}"
         return train_all(_star(spark, sf_dir), path, TrainingPlan(
-            trees=demand.TreeSettings(rounds=10), forest=FOREST, **options))
+            **options))
     return run
 
 
@@ -244,6 +317,18 @@ def queries() -> dict[str, Query]:
         "forecast_seasonal": _seasonal,
         "forecast_seasonal_12": lambda spark, sf_dir: _seasonal(spark, sf_dir, 12),
         "forecast_product": _forecast_product,
+        "forecast_short_product": _forecast_short_product,
+        "forecast_keys": _forecast_keys,
+        "trained_products": _trained_products,
+        "tree_rows": _tree_rows,
+        "forecast_state": _state(False),
+        "forecast_state_compat": _state(True),
+        "augment_gaussian_counts": _gaussian_counts,
+        "smote_counts": _balanced_counts,
+        "mixup_counts": _mixed_counts,
+        "split_sizes": _split_sizes,
+        "predicted_keys": _predicted_keys,
+        "pattern_members": _pattern_members,
         "forecast_all": _forecast_all,
         "forecast_next_month": lambda spark, sf_dir: demand.forecast_next_month(
             _forecast_all(spark, sf_dir, 1)),

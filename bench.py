@@ -20,8 +20,6 @@ from gondola.sources.warehouse import read_star, write_star
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-ROUNDS = 30
-TREES = 30
 
 
 def main() -> None:
@@ -33,6 +31,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.checkpoint.dir", f"{work}/checkpoint")
         .getOrCreate()
     )
@@ -73,17 +72,16 @@ def main() -> None:
 
     rows = store("tree_rows", lambda: demand.tree_rows(history))
     with timed("train_demand"):
-        trees = demand.train_demand(rows, demand.TreeSettings(rounds=ROUNDS))
+        trees = demand.train_demand(rows, demand.TreeSettings())
     run("forecast_recursive", lambda: demand.forecast_recursive(history, trees, 3, route="trees"))
 
     labelled = store("stock_labels", lambda: stock.stock_labels(features))
-    forest = stock.ForestSettings(trees=TREES)
     with timed("train_stock"):
-        trained = stock.train_stock(labelled, settings=forest)
+        trained = stock.train_stock(labelled, settings=stock.ForestSettings())
         metrics.class_report(trained.held_out).collect()
     with timed("train_stock_augmented"):
         metrics.class_report(
-            stock.train_stock(labelled, augment=True, settings=forest).held_out).collect()
+            stock.train_stock(labelled, augment=True, settings=stock.ForestSettings()).held_out).collect()
     with timed("train_patterns"):
         segments_model = patterns.train_patterns(features)
     run("dashboard", lambda: dashboard.dashboard(
@@ -94,7 +92,8 @@ def main() -> None:
     print(json.dumps({
         "metric": "total time of the headline queries", "value": round(sum(times.values()), 3),
         "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")),
-        "cpus": int(CPUS), "boosting_rounds": ROUNDS, "forest_trees": TREES,
+        "cpus": int(CPUS), "boosting_rounds": demand.TreeSettings().rounds,
+        "forest_trees": stock.ForestSettings().trees,
     }))
 
 

@@ -19,12 +19,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that ``cut_lineage`` wrote for this application.
+
+    For the end of a job: frames that still read them fail afterwards.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the checkpoint folder and go on from there.
 
     The table outlives any executor. Unlike a checkpointed RDD it is columnar, so later
     reads take only the columns they need, and its size is known to the planner.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    path = f"{_application_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -101,7 +101,7 @@ def _pivot_radius(points: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """An upper bound from a few points of the label, wherever a point lies."""
     hashed = points.select("label", "point_id", "x", hash_key(1, "point_id").alias("_h"))
     pivots = (
-        numbered_by_hash(hashed, "_h", ["label"]).filter(F.col("row_index") < PIVOTS)
+        numbered_by_hash(hashed, "_h", ["label"]).filter(F.col("row_index") < max(PIVOTS, k + 1))
         .groupBy("label").agg(F.collect_list(F.struct("point_id", "x")).alias("pivots"))
     )
 

@@ -73,8 +73,12 @@ def quantiles(
         F.min(F.when(F.col("_seen") > floor, F.col("_x"))).alias("_a"),
         F.min(F.when(F.col("_seen") > F.ceil("_rank"), F.col("_x"))).alias("_c"),
         F.first("_rank").alias("_rank"),
+        F.coalesce(F.max(F.when(F.col("_x").isNull(), F.col("_seen"))), F.lit(0)).alias("_below"),
     ).withColumn(
-        "_q", F.col("_a") + (F.col("_c") - F.col("_a")) * (F.col("_rank") - floor))
+        # A rank outside its bracket would give another value; it fails instead.
+        "_q", F.when((F.col("_below") > floor) | F.col("_a").isNull() | F.col("_c").isNull(),
+                     F.raise_error("a quantile lies outside its bracket"))
+        .otherwise(F.col("_a") + (F.col("_c") - F.col("_a")) * (F.col("_rank") - floor)))
     return found.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in probabilities
     ])

@@ -11,26 +11,31 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from gondola.functions.columns import month_diff, month_text, round_half_up, settled
+from gondola.functions.columns import month_diff, month_text, round_half_even, settled
 from gondola.functions.lineage import cut_lineage
 
 # Months needed for any model and for the seasonal one, share of a
-# product's rows used to fit, widening of the tree forecast's band.
+# product's rows used to fit, widening of the tree forecast's band, months at most in a
+# request for one product, and the names of the features.
 MIN_MONTHS = 6
 SEASONAL_MONTHS = 12
 TRAIN_SHARE = 0.8
 BAND_LOW, BAND_HIGH = 0.82, 1.18
 MAX_STEPS = 12
+FEATURES = ["month", "quarter", "year", "lag_1", "lag_2", "lag_3", "roll_3", "roll_6", "trend"]
 
 # Two-sided 80 % interval of the normal distribution.
 Z_80 = 1.2815515655446004
 
-FEATURES = ["month", "quarter", "year", "lag_1", "lag_2", "lag_3", "roll_3", "roll_6", "trend"]
+# Features that are quantities; the trees see them as shares of the product's level.
+QUANTITIES = ["lag_1", "lag_2", "lag_3", "roll_3", "roll_6"]
+ROWS_PER_TASK = 50_000
 STEPS_PER_CHECKPOINT = 4
 
 
@@ -176,8 +181,8 @@ def seasonal_mae(history: DataFrame) -> DataFrame:
 
 
 def _check_steps(steps: int) -> None:
-    if not 1 <= steps <= MAX_STEPS:
-        raise ValueError(f"steps must lie between 1 and {MAX_STEPS}, not {steps}")
+    if steps < 1:
+        raise ValueError(f"steps must be 1 or more, not {steps}")
 
 
 def _count_of(value: Column) -> Column:
@@ -186,7 +191,7 @@ def _count_of(value: Column) -> Column:
     Six decimals are settled first, so that a value of one half up to the noise of
     floating-point sums goes the same way on every run.
     """
-    return F.greatest(F.bround(round_half_up(value, 6), 0), F.lit(0.0)).cast("long")
+    return F.greatest(F.bround(round_half_even(value, 6), 0), F.lit(0.0)).cast("long")
 
 
 def forecast_seasonal(model: DataFrame, steps: int = 3) -> DataFrame:
@@ -222,6 +227,8 @@ class TreeSettings:
     rate: float = 0.05
     row_share: float = 0.8
     column_share: float = 0.8
+    bins: int = 256
+    loss: str = "absolute"
     seed: int = 42
 
 
@@ -239,26 +246,46 @@ def tree_rows(history: DataFrame, leak_free: bool = True) -> DataFrame:
 
 
 def train_demand(rows: DataFrame, settings: TreeSettings = TreeSettings()) -> PipelineModel:
-    """One regressor for all products, fitted on the training rows of ``tree_rows``."""
+    """One regressor for all products, fitted on the training rows of ``tree_rows``.
+
+    Quantities, the target among them, are taken relative to the product's level, so that
+    products of any size share the trees. The rows are dealt out by their number: a round
+    is several small jobs, and few rows in many tasks would cost more than the work.
+    """
+    shares = ", ".join(f"{name} / coalesce(nullif(level, 0), 1) AS {name}_share" for name in QUANTITIES)
+    relative = SQLTransformer(statement=f"SELECT *, {shares} FROM __THIS__")
+    inputs = [f"{f}_share" if f in QUANTITIES else f for f in FEATURES]
+    assembler = VectorAssembler(inputCols=[*inputs, "level"], outputCol="features")
     trees = GBTRegressor(
-        featuresCol="features", labelCol="TotalQty", predictionCol="predicted",
+        featuresCol="features", labelCol="share", predictionCol="predicted_share",
         maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate,
         subsamplingRate=settings.row_share, featureSubsetStrategy=str(settings.column_share),
-        seed=settings.seed, checkpointInterval=10,
+        maxBins=settings.bins, lossType=settings.loss, seed=settings.seed, checkpointInterval=10,
     )
-    assembler = VectorAssembler(inputCols=[*FEATURES, "level"], outputCol="features")
-    wanted = rows.filter("is_train").select(*FEATURES, "level", F.col("TotalQty").cast("double"))
-    return Pipeline(stages=[assembler, trees]).fit(wanted)
-
-
-def tree_mae(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Mean absolute error per product on its held-out rows, null where it has none."""
+    back = SQLTransformer(statement=(
+        "SELECT *, predicted_share * coalesce(nullif(level, 0), 1) AS predicted FROM __THIS__"))
+    level = F.coalesce(F.nullif(F.col("level"), F.lit(0.0)), F.lit(1.0))
+    wanted = rows.filter("is_train").select(
+        *FEATURES, "level", (F.col("TotalQty") / level).cast("double").alias("share"))
+    tasks = max(1, -(-wanted.count() // ROWS_PER_TASK))
+    wanted = wanted.repartition(tasks, *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel(stages=[
+            *Pipeline(stages=[relative, assembler, trees]).fit(wanted).stages, back])
+    finally:
+        wanted.unpersist()
+
+
+def tree_mae(model: PipelineModel, rows: DataFrame, products: DataFrame) -> DataFrame:
+    """Mean absolute error per product on its held-out rows, null where it has none.
+
+    ``products`` has the ``sk_produto`` of all that are forecast; a product whose few months
+    leave no complete row is among them.
+    """
     miss = F.when(~F.col("is_train"), F.abs(F.col("TotalQty") - F.col("predicted")))
-    return (
-        model.transform(rows).groupBy("sk_produto")
-        .agg(settled(F.avg(miss), 2).alias("mae"))
-        .select("sk_produto", F.lit("trees").alias("model"), "mae")
-    )
+    errors = model.transform(rows).groupBy("sk_produto").agg(settled(F.avg(miss), 2).alias("mae"))
+    return products.select("sk_produto").distinct().join(errors, "sk_produto", "left").select(
+        "sk_produto", F.lit("trees").alias("model"), "mae")
 
 
 def _short_history(history: DataFrame, route: str) -> DataFrame:
@@ -276,7 +303,7 @@ def demand_mae(
 ) -> DataFrame:
     """Error per trained product, from whichever model forecasts it."""
     short = _short_history(history, route).select("sk_produto").distinct()
-    trees = tree_mae(model, rows.join(short, "sk_produto", "left_semi"))
+    trees = tree_mae(model, rows.join(short, "sk_produto", "left_semi"), short)
     return trees if route == "trees" else trees.unionByName(seasonal_mae(history))
 
 
@@ -329,7 +356,7 @@ def forecast_recursive(
             *carried,
             guess.cast("double").alias("lag_1"), F.col("lag_1").alias("lag_2"),
             F.col("lag_2").alias("lag_3"),
-            round_half_up((F.col("roll_3") * 2 + guess) / 3, 1).alias("roll_3"),
+            round_half_even((F.col("roll_3") * 2 + guess) / 3, 1).alias("roll_3"),
             F.array_append("done", entry).alias("done"),
         )
         if step % STEPS_PER_CHECKPOINT == 0 and step < steps:

@@ -55,7 +55,8 @@ def assign(pipeline: PipelineModel, features: DataFrame) -> DataFrame:
 
 
 def train_patterns(
-    features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42, parallelism: int = 4
+    features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42, parallelism: int = 4,
+    iterations: int = 300,
 ) -> PatternModel:
     """K-means on scaled features, the cheapest of several starts.
 
@@ -73,7 +74,8 @@ def train_patterns(
     try:
         vectors.count()
         fit = inheritable_thread_target(features.sparkSession)(
-            lambda start: KMeans(k=k, seed=seed + start, featuresCol="scaled").fit(vectors))
+            lambda start: KMeans(
+                k=k, seed=seed + start, maxIter=iterations, featuresCol="scaled").fit(vectors))
         with ThreadPoolExecutor(parallelism) as pool:
             starts = list(pool.map(fit, range(restarts)))
     finally:

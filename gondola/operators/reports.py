@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from gondola.functions.columns import (
     month_text,
     pct_change,
     ratio,
+    round_half_even,
     round_half_up,
 )
 from gondola.operators.sales import (
@@ -82,6 +84,18 @@ def sales_history(star: StarSchema, months: int = 36) -> DataFrame:
     return monthly_sales(star, months).orderBy("SaleMonth", "sk_produto")
 
 
+def _squared_misses():
+    """Number of rows times the sum of squared distances from their mean.
+
+    The two terms may be far larger than their difference, so it is taken in decimals; as
+    doubles only where a term does not fit.
+    """
+    n, total, squares = F.sum("lines"), F.sum("qty"), F.sum("qty_squared")
+    exact = (n.try_cast("decimal(12,0)") * squares.try_cast("decimal(25,8)")
+             - total.try_cast("decimal(18,4)") * total.try_cast("decimal(18,4)"))
+    return F.coalesce(exact.cast("double"), n * squares.cast("double") - F.pow(total.cast("double"), F.lit(2)))
+
+
 def product_features(star: StarSchema) -> DataFrame:
     """One row per product, sold or not, with lifetime and recent-half figures.
 
@@ -103,7 +117,7 @@ def product_features(star: StarSchema) -> DataFrame:
         .join(versions, "IDProduto")
         .groupBy("sk_produto")
         .agg(
-            money(F.sum("qty")).alias("qty"), money(F.sum("qty_squared")).alias("qty_squared"),
+            money(F.sum("qty")).alias("qty"), _squared_misses().alias("squared_misses"),
             money(F.sum("revenue")).alias("revenue"),
             (money(F.sum(F.col("revenue") * F.col("Margem"))) / 100).alias("profit"),
             F.sum("lines").alias("lines"),
@@ -119,7 +133,7 @@ def product_features(star: StarSchema) -> DataFrame:
         .groupBy("sk_produto").agg(F.count_distinct("IDPed").alias("orders"))
     )
     n = F.col("lines")
-    spread = (F.col("qty_squared") - F.col("qty") * F.col("qty") / n) / (n - 1)
+    spread = F.col("squared_misses") / n / (n - 1)
     mean = F.coalesce(F.col("qty") / n, F.lit(0.0))
     recent_mean = F.coalesce(ratio(F.col("recent_qty"), F.col("recent_lines")), F.lit(0.0))
     latest = latest_version(star.dim_produto, "IDProduto")
@@ -221,16 +235,19 @@ def seller_performance(star: StarSchema, months: int | None = None) -> DataFrame
     return seller_totals(star, months).orderBy(F.desc("TotalRevenue"), "SellerID")
 
 
-def top_sellers(star: StarSchema, n: int = 5, months: int | None = None) -> DataFrame:
-    """The ``n`` sellers with the most revenue."""
+def top_sellers(
+    star: StarSchema, n: int = 5, months: int | None = None, with_id: bool = False
+) -> DataFrame:
+    """The ``n`` sellers with the most revenue; ``with_id`` adds what they are ordered by."""
+    extra = ["SellerID", F.col("TotalRevenue").alias("revenue")] if with_id else []
     return (
         seller_totals(star, months)
         .orderBy(F.desc("TotalRevenue"), "SellerID").limit(n)
         .select(
             "SellerName", "Territory",
-            round_half_up(F.coalesce("TotalRevenue", F.lit(0.0)), 2).alias("TotalRevenue"),
-            round_half_up(F.coalesce("QuotaAttainmentPct", F.lit(0.0)), 2)
-            .alias("QuotaAttainmentPct"),
+            round_half_even(F.coalesce("TotalRevenue", F.lit(0.0)), 2).alias("TotalRevenue"),
+            round_half_even(F.coalesce("QuotaAttainmentPct", F.lit(0.0)), 2)
+            .alias("QuotaAttainmentPct"), *extra,
         )
     )
 
@@ -269,7 +286,7 @@ def dashboard_kpis(star: StarSchema) -> DataFrame:
     )
 
     def cents(name: str, alias: str):
-        return round_half_up(F.coalesce(F.col(name), F.lit(0.0)), 2).alias(alias)
+        return round_half_even(F.coalesce(F.col(name), F.lit(0.0)), 2).alias(alias)
 
     def whole(name: str, alias: str):
         return F.coalesce(F.col(name), F.lit(0)).cast("long").alias(alias)
@@ -288,10 +305,16 @@ def dashboard_kpis(star: StarSchema) -> DataFrame:
 
 
 def table_row_counts(star: StarSchema) -> DataFrame:
-    """Row count of each table, with a flag that it could be read."""
-    counts = [
-        df.agg(F.count("*").alias("row_count"))
-        .select(F.lit(name).alias("table_name"), "row_count", F.lit(True).alias("ok"))
-        for name, df in star.tables().items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    """Row count of each table, or the error met when it was read.
+
+    The tables are counted here and now, because only so an error becomes a row.
+    """
+    def count(df: DataFrame) -> tuple[int | None, bool, str | None]:
+        try:
+            return df.count(), True, None
+        except (PySparkException, Py4JJavaError) as error:
+            return None, False, str(error).strip().splitlines()[0]
+
+    rows = [(name, *count(df)) for name, df in star.tables().items()]
+    return star.ft_vendas.sparkSession.createDataFrame(
+        rows, "table_name string, row_count bigint, ok boolean, error string")

@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.functions.columns import hash_key, round_half_up, settled
+from gondola.functions.columns import hash_key, round_half_even, settled
 from gondola.functions.lineage import cut_lineage
 from gondola.functions.ordering import numbered_by_hash, quantiles
 from gondola.operators.augment import augment_classifier
@@ -41,10 +41,11 @@ TRAIN_SHARE = 0.8
 
 @dataclass(frozen=True)
 class ForestSettings:
-    trees: int = 100
+    trees: int = 300
     depth: int = 6
     row_share: float = 0.8
     column_share: float = 0.8
+    bins: int = 256
     seed: int = 42
 
 
@@ -150,7 +151,8 @@ def train_stock(
     forest = RandomForestClassifier(
         featuresCol="scaled", labelCol="code", numTrees=settings.trees,
         maxDepth=settings.depth, subsamplingRate=settings.row_share,
-        featureSubsetStrategy=str(settings.column_share), seed=settings.seed,
+        featureSubsetStrategy=str(settings.column_share), maxBins=settings.bins,
+        seed=settings.seed,
     ).fit(names.transform(train.select("label", array_to_vector("x").alias("scaled"))))
     decode = IndexToString(inputCol="prediction", outputCol="predicted", labels=names.labels)
     held_out = decode.transform(forest.transform(
@@ -167,7 +169,7 @@ def stock_scores(model: PipelineModel, features: DataFrame) -> DataFrame:
     return (
         model.transform(stock_features(features))
         .withColumn("StockStatus", F.col("predicted"))
-        .withColumn("Confidence", round_half_up(surest * 100, 1))
+        .withColumn("Confidence", round_half_even(surest * 100, 1))
         .select(*PREDICTION)
     )
 
@@ -189,8 +191,8 @@ def stock_alerts(predictions: DataFrame, status: str = "ALL") -> DataFrame:
     """Predictions of one status, or all, rounded for display, most urgent first."""
     return (
         _with_status(predictions, status)
-        .withColumn("AvgMonthlyQty", round_half_up(F.col("AvgMonthlyQty"), 1))
-        .withColumn("TrendPct", round_half_up(F.col("TrendPct"), 2))
+        .withColumn("AvgMonthlyQty", round_half_even(F.col("AvgMonthlyQty"), 1))
+        .withColumn("TrendPct", round_half_even(F.col("TrendPct"), 2))
         .orderBy(*by_priority())
     )
 
@@ -212,8 +214,8 @@ def stock_summary(predictions: DataFrame, n: int = 5) -> DataFrame:
     """One row: counts per status and the first ``n`` critical products."""
     top = top_products(predictions, "CRITICO", n).select(
         "sk_produto", "ProductID", "ProductName",
-        round_half_up(F.col("AvgMonthlyQty"), 2).alias("AvgMonthlyQty"),
-        round_half_up(F.col("TrendPct"), 2).alias("TrendPct"))
+        round_half_even(F.col("AvgMonthlyQty"), 2).alias("AvgMonthlyQty"),
+        round_half_even(F.col("TrendPct"), 2).alias("TrendPct"))
     entry = F.struct("TrendPct", "sk_produto", "ProductID", "ProductName", "AvgMonthlyQty")
     listed = top.agg(F.sort_array(F.collect_list(entry)).alias("top")).select("top").scalar()
     return status_counts(predictions).drop("total").withColumn("top_critical", listed)
@@ -221,7 +223,8 @@ def stock_summary(predictions: DataFrame, n: int = 5) -> DataFrame:
 
 def feature_summary(features: DataFrame, column: str = "TotalQty12m") -> DataFrame:
     """One row: count, mean, spread, extremes, quartiles and number of zeros."""
-    quartiles = quantiles(features, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    quartiles = quantiles(features, column, quarters)
     value = F.col(column)
     return features.agg(
         F.count(value).alias("count"),
@@ -229,5 +232,6 @@ def feature_summary(features: DataFrame, column: str = "TotalQty12m") -> DataFra
         settled(F.stddev_samp(value), 6).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"),
         F.count(F.when(value == 0, 1)).alias("zeros"),
-    ).select("*", *[
-        quartiles.select(F.max(q)).scalar().alias(q) for q in ("q25", "q50", "q75")])
+        quartiles.select(F.struct(*[F.max(q).alias(q) for q in quarters])).scalar().alias("quartiles"),
+    ).select("count", "mean", "std", "min", "max", "zeros",
+             *[F.col(f"quartiles.{q}").alias(q) for q in quarters])

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gondola.functions.lineage import drop_tables
 from gondola.operators import demand, metrics, patterns, reports, stock
 from gondola.plans import models
 from gondola.sources.schema import StarSchema
@@ -118,3 +119,4 @@ def train_classifier_only(star: StarSchema, path: str, augment: bool = True, **o
 if __name__ == "__main__":
     session = SparkSession.builder.appName("train_all").getOrCreate()
     train_all(read_star(session, sys.argv[1]), sys.argv[2]).show(100, truncate=False)
+    drop_tables(session)

@@ -9,14 +9,20 @@ from pyspark.sql.types import DecimalType
 from gondola.sources.schema import SCHEMAS, StarSchema, conform
 
 DAY_WRITERS = 16
+MOST_DAYS = 200_000
 
 
 def read_star(spark: SparkSession, path: str, fmt: str = "parquet") -> StarSchema:
     """Read a stored star schema; ``path`` holds one folder per table."""
-    return StarSchema(**{
+    star = StarSchema(**{
         name: conform(name, spark.read.format(fmt).schema(schema).load(f"{path}/{name}"))
         for name, schema in SCHEMAS.items()
     })
+    # The calendar is broadcast, so its size is checked here: a count from file footers.
+    days = star.dim_tempo.count()
+    if days > MOST_DAYS:
+        raise ValueError(f"dim_tempo has {days} rows; {MOST_DAYS} days are the most that is broadcast")
+    return star
 
 
 def read_star_jdbc(

@@ -2,7 +2,7 @@
 
 from oracle.star import FEATURES, HISTORY, STAR
 
-CENTS = "sign({0}) * floor(abs({0}) * 100.0 + 0.5) / 100.0"
+CENTS = "round_even(({0}) * 100.0, 0) / 100.0"
 
 SELLERS = """
 sellers AS (
@@ -78,7 +78,8 @@ SELECT {CENTS.format('revenue')} AS total_revenue, {CENTS.format('profit')} AS t
   strftime(last_day, '%Y-%m') AS reference_month, year(last_day) AS reference_year
 FROM totals""",
     "table_row_counts": "WITH " + STAR + " " + " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, count(*) AS row_count, true AS ok FROM {t}"
+        f"SELECT '{t}' AS table_name, count(*) AS row_count, true AS ok, "
+        f"CAST(NULL AS VARCHAR) AS error FROM {t}"
         for t in ["ft_vendas", "dim_produto", "dim_cliente", "dim_vendedor", "dim_tempo",
                   "ft_trocas"]),
 }

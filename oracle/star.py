@@ -93,7 +93,9 @@ newest AS (
 ),
 lifetime AS (
   SELECT dp.IDProduto, CAST(round(sum(v.Quant), 4) AS DOUBLE) AS qty,
-    CAST(round(sum(v.Quant * v.Quant), 4) AS DOUBLE) AS qty2,
+    CAST(CAST(CAST(count(*) AS DECIMAL(12,0)) * CAST(sum(v.Quant * v.Quant) AS DECIMAL(25,8))
+      - CAST(sum(v.Quant) AS DECIMAL(18,4)) * CAST(sum(v.Quant) AS DECIMAL(18,4)) AS VARCHAR)
+      AS DOUBLE) AS misses,
     CAST(round(sum(v.TotLiq), 4) AS DOUBLE) AS revenue,
     CAST(round(sum(v.TotLiq * coalesce(dp.Margem, 0)), 4) AS DOUBLE) / 100 AS profit,
     count(*) AS n, count(DISTINCT v.SaleMonth) AS months, count(DISTINCT v.IDPed) AS orders,
@@ -115,7 +117,7 @@ features AS (
     '' AS ProductClass, '' AS ProductLine, coalesce(qty, 0.0) AS TotalQty12m,
     coalesce(revenue, 0.0) AS TotalRevenue12m, coalesce(profit, 0.0) AS TotalProfit12m,
     mean_qty AS AvgMonthlyQty,
-    CASE WHEN n > 1 THEN sqrt(greatest((qty2 - qty * qty / n) / (n - 1), 0.0)) ELSE 0.0 END
+    CASE WHEN n > 1 THEN sqrt(greatest(misses / n / (n - 1), 0.0)) ELSE 0.0 END
       AS StdDevQty,
     CAST(coalesce(Margem, 0) AS DOUBLE) AS AvgMargin, coalesce(months, 0) AS MonthsWithSales,
     coalesce(orders, 0) AS OrderCount, coalesce(rqty, 0.0) AS TotalQty3m,

@@ -51,17 +51,22 @@ _COLUMNS = """sk_produto, ProductID, ProductName, Category, AvgMonthlyQty, Trend
 
 
 def _round(value: str, scale: str) -> str:
+    """Half away from zero, for the class report."""
     return f"sign({value}) * floor(abs({value}) * {scale} + 0.5) / {scale}"
 
 
+def _even(value: str, scale: str) -> str:
+    return f"round_even(({value}) * {scale}, 0) / {scale}"
+
+
 def _settled(value: str, scale: str) -> str:
-    return _round("(" + _round(value, "1e12") + ")", scale)
+    return _even(_even(value, f"({scale} * 1000)"), scale)
 
 
 def _alerts(where: str) -> str:
     return f"""{_HEAD}
-SELECT sk_produto, ProductID, ProductName, Category, {_round('AvgMonthlyQty', '10.0')}
-  AS AvgMonthlyQty, {_round('TrendPct', '100.0')} AS TrendPct, SalesConsistency, StockStatus,
+SELECT sk_produto, ProductID, ProductName, Category, {_even('AvgMonthlyQty', '10.0')}
+  AS AvgMonthlyQty, {_even('TrendPct', '100.0')} AS TrendPct, SalesConsistency, StockStatus,
   Confidence FROM predicted {where}"""
 
 
@@ -71,6 +76,18 @@ ORDER BY TrendPct, sk_produto LIMIT 5"""
 
 
 STOCK = {
+    "smote_counts": _HEAD + """, sizes AS (SELECT StockStatus AS label, count(*) AS n FROM labelled GROUP BY 1)
+SELECT label, (SELECT max(n) FROM sizes) AS products FROM sizes""",
+    "mixup_counts": _HEAD + """
+SELECT count(*) + 100 AS row_total, count(*) AS given, CAST(0 AS BIGINT) AS new_labels FROM labelled""",
+    "split_sizes": _HEAD + """, sizes AS (SELECT StockStatus AS label, count(*) AS n FROM labelled GROUP BY 1)
+SELECT label, t AS is_train, CAST(CASE WHEN t THEN ceil(n * 0.8) ELSE n - ceil(n * 0.8) END AS BIGINT)
+  AS products
+FROM sizes, (SELECT unnest([true, false]) AS t)
+WHERE CASE WHEN t THEN ceil(n * 0.8) ELSE n - ceil(n * 0.8) END > 0""",
+    "predicted_keys": _HEAD + " SELECT sk_produto, true AS possible FROM labelled",
+    "pattern_members": f"""WITH {STAR}, {FEATURES}
+SELECT sk_produto, CAST(1 AS BIGINT) AS patterns, CAST(1 AS BIGINT) AS rows_of_it FROM features""",
     "stock_features": _HEAD + " SELECT * FROM engineered",
     "stock_labels": _HEAD + " SELECT * FROM labelled",
     "stock_label_counts": _HEAD
@@ -132,7 +149,7 @@ SELECT sk_produto, ProductID, ProductName, Category, Subcategory, AvgMonthlyQty,
 FROM clustered c JOIN named n ON c.Cluster = n.Cluster WHERE Pattern = 'Venda Sazonal'""",
     "dashboard_rules": f"""{_HEAD}, {CLUSTERED}, {SELLERS},
 kpis AS (
-  SELECT {_round('CAST(round(sum(v.TotLiq), 4) AS DOUBLE)', '100.0')} AS total_revenue,
+  SELECT {_even('CAST(round(sum(v.TotLiq), 4) AS DOUBLE)', '100.0')} AS total_revenue,
     count(DISTINCT v.IDPed) AS total_orders, strftime(max(b.last_day), '%Y-%m') AS reference_month
   FROM valid v JOIN dim_produto dp ON v.IDProduto = dp.IDSK CROSS JOIN bounds b
 ),
@@ -144,10 +161,10 @@ top_critical AS (
 top_pattern AS (
   SELECT n.Pattern AS pattern, count(*) AS products FROM clustered c JOIN named n
     ON c.Cluster = n.Cluster
-  GROUP BY 1 ORDER BY {_settled('avg(AvgMonthlyQty)', '10.0')} DESC, 1 DESC LIMIT 1
+  GROUP BY 1 ORDER BY {_settled('avg(AvgMonthlyQty)', '10.0')} DESC, 1 LIMIT 1
 ),
 top_seller AS (
-  SELECT SellerName, {_round('TotalRevenue', '100.0')} AS revenue FROM sellers
+  SELECT SellerName, {_even('TotalRevenue', '100.0')} AS revenue FROM sellers
   ORDER BY TotalRevenue DESC, SellerID LIMIT 1
 )
 SELECT k.*, c.*, (SELECT sk_produto FROM top_critical) AS first_critical,

@@ -69,8 +69,11 @@ def test_forecast_is_never_negative(spark):
     frame = history_rows(spark, {3: series(D(2019, 1, 1), [24 - 2 * i for i in range(13)])})
     rows = demand.forecast_seasonal(demand.train_seasonal(frame), 12).collect()
     assert len(rows) == 12 and all(0 <= r.lower <= r.forecast <= r.upper for r in rows)
+    model = demand.train_seasonal(frame)
+    assert demand.forecast_seasonal(model, 14).count() == 14
+    assert demand.forecast_product(demand.forecast_seasonal(model, 14), 3, 20).count() == 12
     with pytest.raises(ValueError):
-        demand.forecast_seasonal(demand.train_seasonal(frame), 13)
+        demand.forecast_seasonal(model, 0)
 
 
 @pytest.fixture(scope="module")
@@ -127,7 +130,18 @@ def test_errors_per_product(spark, mixed):
     model = demand.train_demand(rows, FEW_ROUNDS)
     got = {r.sk_produto: r for r in demand.demand_mae(mixed, model, rows).collect()}
     assert got[2].model == "seasonal" and got[1].model == "trees"
-    assert 4 not in got or got[4].mae is None
+    assert set(got) == {1, 2, 4} and got[4].mae is None
+
+
+def test_trees_follow_a_signal(spark):
+    """Alternating series: the trees beat each product's own level by far."""
+    frame = history_rows(spark, {
+        k: series(D(2018, 1, 1), [(20 if i % 2 else 5) * (1 + k % 7) for i in range(30)]) for k in range(40)})
+    rows = demand.tree_rows(frame).cache()
+    model = demand.train_demand(rows, demand.TreeSettings(rounds=60, rate=0.1))
+    miss = demand.tree_mae(model, rows, frame).agg(F.avg("mae")).first()[0]
+    level = rows.filter("NOT is_train").agg(F.avg(F.abs(F.col("TotalQty") - F.col("level")))).first()[0]
+    assert miss < 0.3 * level
 
 
 def test_product_list(spark, mixed):

@@ -11,6 +11,7 @@ from gondola.functions.columns import (
     hash_uniform,
     month_diff,
     pct_change,
+    round_half_even,
     round_half_up,
     settled,
 )
@@ -29,6 +30,22 @@ def test_rounding_and_change(spark):
     assert [tuple(r) for r in rows.collect()] == [(3.0, 25.0), (-3.0, None)]
 
 
+def test_ties_go_to_the_even_neighbour(spark):
+    rows = spark.createDataFrame([(0.125,), (100.125,), (-0.375,), (1e300,), (None,)], "a double")
+    got = [r[0] for r in rows.select(round_half_even(F.col("a"), 2)).collect()]
+    assert got == [round(x, 2) if x is not None else None for x in (0.125, 100.125, -0.375, 1e300, None)]
+    exact = spark.createDataFrame([(98765.4321 + 0.000000001,)], "a double")
+    assert exact.select(settled(F.col("a"), 2)).first()[0] == 98765.43
+
+
+@pytest.mark.parametrize("alpha", [0.2, 0.5, 0.6, 1, 2, 5])
+def test_beta_draws_for_every_alpha(spark, alpha):
+    rows = spark.range(20_000).select(hash_beta(alpha, 1, "id").alias("b")).toPandas()
+    assert rows.b.between(0, 1).all() and (rows.b == 0.5).mean() < 0.001
+    assert abs(rows.b.mean() - 0.5) < 0.01
+    assert abs(rows.b.std() - (1 / (4 * (2 * alpha + 1))) ** 0.5) < 0.006
+
+
 def test_rounding_large_values_and_noise(spark):
     rows = spark.createDataFrame([(9e17 + 256, 0.1 * 3 + 0.0), (-1e300, 2.675)],
                                  "a double, b double").select(

@@ -1,9 +1,11 @@
 import datetime as dt
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
 
 from gondola.operators import quality, reports
+from gondola.sources.orders_feed import star_from_orders
 from gondola.sources.schema import SCHEMAS, conform
 from hand_made import make_star, months, product, sale
 
@@ -159,3 +161,12 @@ def test_schema_is_checked(spark):
         conform("dim_cliente", good.drop("Est"))
     with pytest.raises(ValueError, match="expected bigint"):
         conform("dim_cliente", good.withColumn("IDSK", good.Est))
+
+
+def test_a_table_that_cannot_be_read_is_a_row(spark, tmp_path):
+    star = star_from_orders(spark, "/root/testdata/sf0.001")
+    (tmp_path / "part-0.parquet").write_text("no table")
+    lost = spark.read.schema(star.dim_tempo.schema).parquet(str(tmp_path))
+    rows = {r.table_name: r for r in reports.table_row_counts(replace(star, dim_tempo=lost)).collect()}
+    assert not rows["dim_tempo"].ok and rows["dim_tempo"].row_count is None and rows["dim_tempo"].error
+    assert all(r.ok and r.row_count > 0 for name, r in rows.items() if name != "dim_tempo")
