@@ -228,6 +228,7 @@ class TreeSettings:
     row_share: float = 0.8
     column_share: float = 0.8
     bins: int = 256
+    leaf_share: float = 0.02
     loss: str = "absolute"
     seed: int = 42
 
@@ -250,24 +251,26 @@ def train_demand(rows: DataFrame, settings: TreeSettings = TreeSettings()) -> Pi
 
     Quantities, the target among them, are taken relative to the product's level, so that
     products of any size share the trees. The rows are dealt out by their number: a round
-    is several small jobs, and few rows in many tasks would cost more than the work.
+    is several small jobs, and few rows in many tasks would cost more than the work. A leaf
+    holds at least ``leaf_share`` of the rows, so that noise is not learned by heart.
     """
     shares = ", ".join(f"{name} / coalesce(nullif(level, 0), 1) AS {name}_share" for name in QUANTITIES)
     relative = SQLTransformer(statement=f"SELECT *, {shares} FROM __THIS__")
     inputs = [f"{f}_share" if f in QUANTITIES else f for f in FEATURES]
     assembler = VectorAssembler(inputCols=[*inputs, "level"], outputCol="features")
-    trees = GBTRegressor(
-        featuresCol="features", labelCol="share", predictionCol="predicted_share",
-        maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate,
-        subsamplingRate=settings.row_share, featureSubsetStrategy=str(settings.column_share),
-        maxBins=settings.bins, lossType=settings.loss, seed=settings.seed, checkpointInterval=10,
-    )
     back = SQLTransformer(statement=(
         "SELECT *, predicted_share * coalesce(nullif(level, 0), 1) AS predicted FROM __THIS__"))
     level = F.coalesce(F.nullif(F.col("level"), F.lit(0.0)), F.lit(1.0))
     wanted = rows.filter("is_train").select(
         *FEATURES, "level", (F.col("TotalQty") / level).cast("double").alias("share"))
-    tasks = max(1, -(-wanted.count() // ROWS_PER_TASK))
+    n = wanted.count()
+    tasks, leaf = max(1, -(-n // ROWS_PER_TASK)), max(1, int(n * settings.leaf_share))
+    trees = GBTRegressor(
+        featuresCol="features", labelCol="share", predictionCol="predicted_share",
+        maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate,
+        subsamplingRate=settings.row_share, featureSubsetStrategy=str(settings.column_share),
+        maxBins=settings.bins, minInstancesPerNode=leaf, lossType=settings.loss, seed=settings.seed, checkpointInterval=10,
+    )
     wanted = wanted.repartition(tasks, *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return PipelineModel(stages=[
