@@ -18,7 +18,7 @@ from gondola.llm import byte_bpe, decontaminate, language_id, secret_scan, simha
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of which one language has at least half of the letters."""
+    """Keep documents of which one language has a good part of the letters."""
     return language_id.keep_identified(docs, language_id.fit(language_id.training_rows(docs)))
 
 

@@ -215,7 +215,8 @@ def fit(labelled: DataFrame, lang_column: str = "lang", **columns: str) -> Model
     share = F.create_map(*[F.lit(x) for r in sizes for x in (
         r["lang"], min(1.0, TRAIN_BYTES / r["size"]))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(draw < share[F.col("lang")]).select("lang", "text")
+    chosen = rows.where(draw < share[F.col("lang")]).repartition(
+        COUNTING_TASKS, "doc_id", "text").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
@@ -240,7 +241,7 @@ def fit(labelled: DataFrame, lang_column: str = "lang", **columns: str) -> Model
             pa.array([x.tolist() for n in names for x in (grams[n], scripts[n])],
                      pa.list_(pa.int64()))], names=["lang", "kind", "counts"])
 
-    parts = chosen.repartition(COUNTING_TASKS, F.xxhash64("text")).mapInArrow(
+    parts = chosen.mapInArrow(
         run, "lang string, kind int, counts array<bigint>")
     summed = parts.select("lang", "kind", F.posexplode("counts").alias("place", "n")).groupBy(
         "lang", "kind", "place").agg(F.sum("n").alias("n")).where("n > 0").collect()
@@ -314,7 +315,7 @@ def label_spans(docs: DataFrame, model: Model | None, **columns: str) -> DataFra
         run, "doc_id long, start int, end int, lang string")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least_score: float = 0.5,
+def keep_identified(docs: DataFrame, model: Model | None, least_score: float = 0.3,
                     text_column: str = "text") -> DataFrame:
     """The rows whose text has a language with at least this share of the letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
