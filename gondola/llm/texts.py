@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text a task holds as Python objects at one time, single texts aside.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 
 def id_and_text(docs: DataFrame, *more: str, id_column: str = "doc_id",
@@ -88,26 +88,29 @@ class SpanHash:
     ROOTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
     def __init__(self):
-        self.size = 0
-
-    def _grow(self, size: int) -> None:
-        if size <= self.size:
-            return
-        self.size = max(size, 2 * self.size, 1 << 16)
-        self.power, self.inverse = [], []
-        for root in self.ROOTS:
-            for out, factor in ((self.power, root), (self.inverse, pow(root, -1, 1 << 64))):
-                row = np.full(self.size + 1, factor, np.uint64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _powers(self, which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of a root and of its inverse, at least so many."""
+        held = self.tables.get(which)
+        if held is None or len(held[0]) <= size:
+            root = self.ROOTS[which]
+            held = []
+            for factor in (root, pow(root, -1, 1 << 64)):
+                row = np.full(size + size // 8 + 1, factor, np.uint64)
                 row[0] = 1
-                out.append(np.multiply.accumulate(row))
+                held.append(np.multiply.accumulate(row, out=row))
+            self.tables[which] = tuple(held)
+        return self.tables[which]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
                  which: int = 0) -> np.ndarray:
-        self._grow(len(data))
+        power, inverse = self._powers(which, len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[which][:len(data)],
-                  out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverse[which][starts])
+        np.add(data, np.uint64(1), out=sums[1:], dtype=np.uint64, casting="unsafe")
+        sums[1:] *= power[:len(data)]
+        np.cumsum(sums[1:], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
