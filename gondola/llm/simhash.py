@@ -38,6 +38,8 @@ SEED = 42
 BUDGET = 2
 #: Most fingerprints of a subtree that one group joins.
 GROUP_FINGERPRINTS = 20_000
+#: Lowest level at which a subtree is cut.
+LOWEST = 24
 SMALL_PAIR = 8
 #: Fixed value: the two of four blocks that lead each trie.
 LEADING = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
@@ -93,8 +95,8 @@ def trie_join(keys: np.ndarray, pairs: list[np.ndarray], budget: int = BUDGET,
     """Pairs of places in ``keys`` that differ in at most ``budget`` bits.
 
     ``pairs`` are the node pairs to start from: low and high end of one node's range and
-    of the other's, and the number of bits in which the nodes differ. A node is a range of
-    keys, sorted and distinct, that are equal but for the last ``depth`` bits. All node
+    of the other's, and the number of bits above the last ``depth`` in which they differ. A
+    node is a range of keys, sorted and distinct, that are equal above these bits. All node
     pairs of one level go down together: like branches keep the pair's count of differing
     bits, unlike branches add one.
     """
@@ -204,8 +206,8 @@ def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.add.reduceat(second, firsts, dtype=np.int64)
         unlike = low != high
         split[unlike] = (ends - counts)[unlike]
-        pairs = [firsts, np.where(unlike, split, ends), split, ends,
-                 np.bitwise_count(low ^ high).astype(np.int64)]
+        # The walk goes down all 32 levels, so it adds up the nodes' own differing bits too.
+        pairs = [firsts, np.where(unlike, split, ends), split, ends, np.zeros(len(firsts), np.int64)]
         left, right = trie_join(keys, pairs)
         root = spanning(len(keys), left, right)
         own = np.flatnonzero(root != np.arange(len(keys)))
@@ -225,14 +227,29 @@ def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield linked(held, np.zeros(1, np.int64))
 
 
+def _cut_levels(rows: DataFrame, large: DataFrame, most: int) -> DataFrame:
+    """For each of the ``large`` prefixes the least ``levels`` at which no node has more than
+    ``most`` keys, as counted; at the lowest a node has 256 keys at most."""
+    lowest = rows.join(large, ["trie", "prefix"], "left_semi").groupBy(
+        "trie", "prefix", F.shiftright("rest", 32 - LOWEST).alias("node")).agg(F.count("*").alias("n"))
+    level = F.explode(F.sequence(F.lit(1), F.lit(LOWEST))).alias("levels")
+    nodes = lowest.select("*", level).groupBy(
+        "trie", "prefix", "levels", F.expr(f"shiftright(node, {LOWEST} - levels)").alias("node")).agg(
+        F.sum("n").alias("n"))
+    largest = nodes.groupBy("trie", "prefix", "levels").agg(F.max("n").alias("n"))
+    return largest.groupBy("trie", "prefix").agg(F.coalesce(
+        F.min(F.when(F.col("n") <= most, F.col("levels"))), F.lit(LOWEST)).alias("levels"))
+
+
 def fingerprint_links(distinct: DataFrame, most: int = GROUP_FINGERPRINTS) -> DataFrame:
     """Links ``u``, ``v`` that join all distinct ``bits`` within the budget, transitively."""
     rows = _tries(distinct)
-    sizes = rows.groupBy("trie", "prefix").agg(F.count("*").alias("n")).where("n > 1")
-    levels = F.when(F.col("n") > most, F.least(F.lit(24), F.ceil(
-        F.log2(F.col("n") / F.lit(most))) + 1)).otherwise(F.lit(0)).cast("int")
+    sizes = cut_lineage(rows.groupBy("trie", "prefix").agg(F.count("*").alias("n")).where("n > 1"))
+    large = _cut_levels(rows, sizes.where(F.col("n") > most), most)
+    levels = sizes.join(large, ["trie", "prefix"], "left").select(
+        "trie", "prefix", F.coalesce("levels", F.lit(0)).alias("levels"))
     # Only prefixes with company go on.
-    kept = rows.join(sizes.select("trie", "prefix", levels.alias("levels")), ["trie", "prefix"])
+    kept = rows.join(levels, ["trie", "prefix"])
     plain = kept.where("levels = 0").withColumns({"low": F.lit(0).cast("long"),
                                                   "high": F.lit(0).cast("long")})
     cut = _with_node_pairs(kept.where("levels > 0").select(

@@ -73,6 +73,24 @@ def test_trie_join_finds_all_components(spark, most):
     assert roots(len(values), got) == roots(len(values), near_bits(values))
 
 
+@pytest.mark.parametrize("low_bits", [32, 14])
+def test_links_across_nodes_of_a_cut_prefix(spark, low_bits):
+    draw = random.Random(8)
+    values = {draw.getrandbits(low_bits) for _ in range(600)}
+    # Partners two bits away, one in each block of the remainder: they meet in one trie only.
+    values |= {v ^ 1 << draw.randrange(16, 32) ^ 1 << draw.randrange(12) for v in sorted(values)[::2]}
+    values = sorted(0x5EED << 48 | 0xF00D << 32 | v for v in values)
+    place = {v: k for k, v in enumerate(values)}
+    table = spark.createDataFrame([(v,) for v in values], "bits long")
+    got = [(place[r.u], place[r.v]) for r in simhash.fingerprint_links(table, 40).collect()]
+    assert roots(len(values), got) == roots(len(values), near_bits(values))
+    rows = simhash._tries(table)
+    levels = simhash._cut_levels(rows, rows.groupBy("trie", "prefix").count().where("count > 40"), 40)
+    mine = [r.levels for r in levels.where("trie = 0").collect()]
+    nodes = [Counter((v & 0xFFFFFFFF) >> 32 - k for v in values) for k in (mine[0] - 1, mine[0])]
+    assert len(mine) == 1 and max(nodes[0].values()) > 40 >= max(nodes[1].values())
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
