@@ -239,6 +239,30 @@ def test_shared_passages(spark):
     assert substring_dedup.passage_classes(table.where("doc_id > 5000")).count() == 0
 
 
+def test_exact_copies_with_returning_phrases():
+    passage = np.arange(76, dtype=np.uint32) + 7
+    passage[40:42] = passage[2:4]
+    apart = np.arange(30, dtype=np.uint32) + 1000
+    assert substring_dedup._stretches(passage, passage, 46, 0.8) == [(0, 76, 0, 76, 1.0)]
+    # In the other text the phrase is also there before the passage.
+    other = np.concatenate([passage[2:4], apart, passage])
+    assert substring_dedup._stretches(passage, other, 46, 0.8) == [(0, 76, 32, 108, 1.0)]
+    for period in (12, 20, 30, 40):
+        lines = np.arange(600, dtype=np.uint32) % period
+        assert substring_dedup._stretches(lines, lines, 46, 0.8) == [(0, 600, 0, 600, 1.0)]
+
+
+def test_copies_of_repetitive_texts(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join([word() for _ in range(n)] * (604 // n)) for n in (12, 20, 30, 40)]
+    texts.append(" ".join(word() for _ in range(200)))
+    rows = [(10 * k + c, t) for k, t in enumerate(texts) for c in range(2)] + [(99, texts[4][:90])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in substring_dedup.passage_classes(table).collect()}
+    assert got == {10 * k + c: 10 * k for k in range(5) for c in range(2)}
+
+
 # Archives
 
 def test_loser_tree():
