@@ -263,6 +263,18 @@ def test_copies_of_repetitive_texts(spark):
     assert got == {10 * k + c: 10 * k for k in range(5) for c in range(2)}
 
 
+def test_both_parts_of_a_run_that_is_not_alike():
+    one, two = np.arange(56, dtype=np.uint32) + 1000, np.arange(51, dtype=np.uint32) + 2000
+    a, b = (np.concatenate([one, np.arange(24, dtype=np.uint32) + k, two]) for k in (0, 100))
+    assert substring_dedup._stretches(a, b, 46, 0.8) == [(0, 56, 0, 56, 1.0), (80, 131, 80, 131, 1.0)]
+    # The larger part is scattered and fails; the smaller holds.
+    b = np.concatenate([two, np.arange(24, dtype=np.uint32), np.arange(160, dtype=np.uint32) + 4000])
+    a = b.copy()
+    a[51:75] += 100
+    a[75:][np.arange(160) % 3 == 0] += 5000
+    assert substring_dedup._stretches(a, b, 46, 0.8)[0][:4] == (0, 51, 0, 51)
+
+
 # Archives
 
 def test_loser_tree():
