@@ -4,7 +4,8 @@ Source and configuration text is lexed line by line into ``name = value`` pairs,
 the value is a quoted literal, a bare word, or the name of something assigned before.
 Names stand for the literals they were given (constants are propagated), and a literal is
 scored by how sensitive the names are that it reaches, times how much it looks like a
-random string. Literals over the threshold add spans of kind ``literal``; the spans of
+random string. Under a strongly sensitive name any quoted literal of eight characters or more
+counts, passphrases too. Literals over the threshold add spans of kind ``literal``; the spans of
 the fixed patterns are always kept.
 
 Null texts count as empty and have no span. Repeated rows and repeated or null keys give
@@ -43,9 +44,13 @@ SENSITIVE = {
     "bearer": 0.8, "auth": 0.7, "jwt": 0.8, "salt": 0.6, "key": 0.6,
 }
 THRESHOLD = 0.5
-#: A name, an operator, and a value that is quoted, or bare to the end of the word.
+#: Least weight of a name under which a quoted literal need not look random.
+STRONG = 0.9
+#: A name, perhaps a type, an operator, and a value that is quoted, or bare to the end of the word.
 PAIR = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][\w.\-]*)(?P=quote)[\t ]*(?:=>|:=|=|:)[\t ]*"""
+    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][\w.\-]*)(?P=quote)"""
+    r"""(?:[\t ]*:[\t ]*&?[A-Za-z_][\w.]{0,60}(?:[\[<][\w.,|<>\[\]\x20]{0,60}[\]>])?\??[\t ]{0,9}(?==(?![=>])))?"""
+    r"""[\t ]*(?:=>|:=|=|:)[\t ]*"""
     r"""(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'"""
     r"""|(?P<bare>[^\s"',;#(){}\[\]]+))""", re.ASCII)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", re.ASCII)
@@ -76,11 +81,14 @@ def assigned_literals(text: str) -> list[tuple[int, int, str, float]]:
     """Spans of literals with the most sensitive name each reaches, and its score."""
     held: dict[str, tuple[int, int]] = {}
     reached: dict[tuple[int, int], tuple[float, str]] = {}
+    quoted: set[tuple[int, int]] = set()
     for pair in PAIR.finditer(text):
         name, bare = pair["name"], pair["bare"]
         group = "double" if pair["double"] is not None else (
             "single" if pair["single"] is not None else "bare")
         span = pair.span(group)
+        if bare is None:
+            quoted.add(span)
         if bare is not None and IDENTIFIER.match(bare) and bare in held:
             span = held[bare]
         held[name] = span
@@ -89,7 +97,11 @@ def assigned_literals(text: str) -> list[tuple[int, int, str, float]]:
             reached[span] = (weight, name)
     out = []
     for (start, end), (weight, name) in reached.items():
-        score = weight * randomness(text[start:end])
+        literal = text[start:end]
+        # A quoted literal that begins like a placeholder is none of the secrets.
+        sure = (weight >= STRONG and (start, end) in quoted and len(literal.strip()) >= 8
+                and literal[0] not in "<$%{")
+        score = weight * (1.0 if sure else randomness(literal))
         if score >= THRESHOLD:
             out.append((start, end, name, score))
     return out

@@ -214,6 +214,15 @@ def test_constants_reach_sensitive_names():
     assert found == [("Zx81kLmq09PqRs", "db_password"), ("q9W8e7R6t5Y4u3", "privateKey")]
 
 
+def test_literals_that_do_not_look_random_and_typed_names():
+    text = ('db_pwd = "Correct-Horse-Battery"\nmaster_passphrase: "correct horse battery staple"\n'
+            'dbPwd: string = "Zx81kLmq09PqRs"\nauth_pwd: Optional[str] = \'onlyletters\'\n'
+            'pwd = "short"\npwd = "${FROM_ENV}"\npwd = some_function\ntitle: str = "Correct-Horse-Battery"\n')
+    found = [(text[s:e], name) for s, e, kind, name, _ in secret_scan.spans_of(text) if kind == "literal"]
+    assert found == [("Correct-Horse-Battery", "db_pwd"), ("correct horse battery staple", "master_passphrase"),
+                     ("Zx81kLmq09PqRs", "dbPwd"), ("onlyletters", "auth_pwd")]
+
+
 def test_long_s_is_no_s():
     assert secret_scan.spans_of("paſſword=abcdefgh") == []
 
