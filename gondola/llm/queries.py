@@ -13,6 +13,7 @@ from gondola.llm import (
     attention_lm,
     byte_bpe,
     chunk_fingerprints,
+    conversation_repair,
     decontaminate,
     language_id,
     license_scan,
@@ -21,6 +22,7 @@ from gondola.llm import (
     substring_dedup,
     warc,
 )
+from gondola.llm.conversation_sql import CONVERSATION_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +56,11 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(
+        conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 #: Responses and revisits by window: the largest key of each repeated payload.
 WARC_SQL = """
 SELECT page_id, payload_bytes, payload_digest,
@@ -79,8 +86,9 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": _bpe,
         "op9_warc": _warc,
         "op10_license_scan": _on_documents(license_scan.find_licenses),
+        "op11_conversation_repair": _repairs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": WARC_SQL}
+    return {"op9_warc": WARC_SQL, "op11_conversation_repair": CONVERSATION_SQL}
