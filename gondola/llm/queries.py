@@ -21,6 +21,7 @@ from gondola.llm import (
     simhash,
     substring_dedup,
     warc,
+    whitening,
 )
 from gondola.llm.conversation_sql import CONVERSATION_SQL
 
@@ -87,6 +88,8 @@ def queries() -> dict[str, Query]:
         "op9_warc": _warc,
         "op10_license_scan": _on_documents(license_scan.find_licenses),
         "op11_conversation_repair": _repairs,
+        "op12_whitening": lambda spark, sf_dir: whitening.whitened(
+            _table(spark, sf_dir, "embeddings")),
     }
 
 
