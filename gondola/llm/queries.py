@@ -20,6 +20,7 @@ from gondola.llm import (
     secret_scan,
     simhash,
     substring_dedup,
+    url_filter,
     warc,
     whitening,
 )
@@ -90,6 +91,8 @@ def queries() -> dict[str, Query]:
         "op11_conversation_repair": _repairs,
         "op12_whitening": lambda spark, sf_dir: whitening.whitened(
             _table(spark, sf_dir, "embeddings")),
+        "op13_url_filter": lambda spark, sf_dir: url_filter.judge_pages(
+            _table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict"),
     }
 
 
