@@ -13,8 +13,11 @@ The naive Bayes model is learned from weak labels over all URLs: a URL counts as
 block if a word of its host is one of ``TOPIC_WORDS`` (a parameter), and as one to allow if not.
 What shares hosts with topic words is thereby learned as well, and a topic word that turns
 out common in other URLs loses its weight. Tokens are the words of host and path and ``#``
-for a run of digits; those under the least share are counted together. Counts are summed
-in Spark over all rows; only the bounded model is broadcast.
+for a run of digits; those under the least share are counted together, and one that no URL
+of the fit had says nothing. Both classes are smoothed towards the tokens' overall shares,
+by as many occurrences as there are tokens with a count: even shares would lean rare tokens
+to the smaller class. Counts are summed in Spark over all rows; only the bounded model is
+broadcast.
 
 Nulls: a URL that is null or has no ``://`` has an empty host and path, fits no rule, has
 no token and is judged by the prior alone, which allows it unless most URLs are to be
@@ -233,10 +236,10 @@ def fit_urls(parts: DataFrame, words: dict[str, float], topics: frozenset[str] =
         F.sum("allowed"), F.sum("blocked")).collect()
     table = {token: (allowed, blocked) for token, allowed, blocked in rows}
     n_allowed, n_blocked = table.pop(None, (0, 0))
-    table.setdefault(RARE, (0, 0))
-    all_allowed = sum(a for a, _ in table.values()) + len(table)
-    all_blocked = sum(b for _, b in table.values()) + len(table)
-    odds = {token: math.log((b + 1) / all_blocked) - math.log((a + 1) / all_allowed)
+    of_allowed, of_blocked = (sum(c[k] for c in table.values()) for k in (0, 1))
+    share_of = {token: sum(c) * len(table) / (of_allowed + of_blocked) for token, c in table.items()}
+    odds = {token: math.log((b + share_of[token]) / (of_blocked + len(table)))
+            - math.log((a + share_of[token]) / (of_allowed + len(table)))
             for token, (a, b) in table.items()}
     return UrlModel(words, odds, math.log((n_blocked + 1) / (n_allowed + 1)))
 
@@ -246,7 +249,7 @@ def _score(model) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, of = _splitter(words.value), odds.value
-        rare = of[RARE]
+        rare = of.get(RARE, 0.0)
         for batch in batches:
             host, path = (batch.column(name).to_pylist() for name in ("host", "path"))
             found = [[*tokens(h), *tokens(p.lower())] for h, p in zip(host, path)]

@@ -59,12 +59,14 @@ LONGEST = 2 ** 63 - 1
 
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
     """Key and whole-number vector of the rows that have one."""
-    scaled = F.transform(F.col("embedding").cast("array<double>"), lambda c: F.floor(c * SCALE))
+    # Spark may work out an entry before it drops the vector: no error then.
+    shifted = F.transform(F.col("embedding").cast("array<double>"),
+                          lambda c: F.try_add(F.floor(c * SCALE).cast("long"), F.lit(SHIFT)))
     whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c)
                      & (F.abs(c.cast("double")) < float(2 ** 53) / SCALE))
     return embeddings.filter(whole & (F.size("embedding") > 0)).select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform(scaled, lambda c: c.cast("long") + SHIFT).alias("x"))
+        shifted.alias("x"))
 
 
 @dataclass(frozen=True)
