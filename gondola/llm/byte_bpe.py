@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.llm.texts import (
+    Shared,
     SpanHash,
     alike,
     bytes_of,
@@ -363,7 +364,7 @@ class Encoder:
 
 def load(spark: SparkSession, path: str):
     """The vocabulary's tables, read on the driver and broadcast (its size is fixed)."""
-    return spark.sparkContext.broadcast(BytePairs(path))
+    return Shared(spark, BytePairs(path))
 
 
 def round_trip(docs: DataFrame, path: str, **columns: str) -> DataFrame:

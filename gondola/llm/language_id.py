@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm.texts import (
+    Shared,
     SpanHash,
     alike,
     gathered,
@@ -204,18 +205,20 @@ def fit(labelled: DataFrame, lang_column: str = "lang", **columns: str) -> Model
     """Count the model over rows whose language is known; None if there is none.
 
     Of each language the rows whose hash of key and text falls under a share are used, the
-    share set so that about ``TRAIN_BYTES`` are expected; what comes back to the driver is
-    one size and the bucket counts for each language.
+    share set so that about ``TRAIN_BYTES`` are expected, but at least the row of the least hash;
+    what comes back to the driver is one size and the bucket counts for each language, as
+    columns of numbers.
     """
     rows = id_and_text(labelled, F.col(lang_column).cast("string").alias("lang"), **columns).where(
         F.col("lang").isNotNull() & (F.col("text") != ""))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = rows.groupBy("lang").agg(
+        F.sum(F.octet_length("text")).alias("size"), F.min(draw).alias("least")).collect()
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for r in sizes for x in (
-        r["lang"], min(1.0, TRAIN_BYTES / r["size"]))])
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(draw < share[F.col("lang")]).repartition(
+        r["lang"], max(r["least"], min(1.0, TRAIN_BYTES / r["size"])))])
+    chosen = rows.where(draw <= share[F.col("lang")]).repartition(
         COUNTING_TASKS, "doc_id", "text").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,14 +247,18 @@ def fit(labelled: DataFrame, lang_column: str = "lang", **columns: str) -> Model
     parts = chosen.mapInArrow(
         run, "lang string, kind int, counts array<bigint>")
     summed = parts.select("lang", "kind", F.posexplode("counts").alias("place", "n")).groupBy(
-        "lang", "kind", "place").agg(F.sum("n").alias("n")).where("n > 0").collect()
-    languages = sorted({r.lang for r in summed})
+        "lang", "kind", "place").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    lang = summed.column("lang").combine_chunks().dictionary_encode()
+    languages = sorted(lang.dictionary.to_pylist())
     if not languages:
         return None
     counts = np.zeros((len(languages), NO_GRAM))
     scripts = np.zeros((len(languages), len(SCRIPTS)))
-    for r in summed:
-        (scripts if r.kind else counts)[languages.index(r.lang), r.place] = r.n
+    order = np.array([languages.index(name) for name in lang.dictionary.to_pylist()])
+    row = order[lang.indices.to_numpy()]
+    kind, place, n = (summed.column(c).to_numpy() for c in ("kind", "place", "n"))
+    for table, of in ((counts, kind == 0), (scripts, kind == 1)):
+        table[row[of], place[of]] = n[of]
     return Model(languages, counts, scripts)
 
 
@@ -273,7 +280,7 @@ def _whole(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray
 
 def identify(docs: DataFrame, model: Model | None, **columns: str) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
@@ -289,7 +296,7 @@ def identify(docs: DataFrame, model: Model | None, **columns: str) -> DataFrame:
 def label_spans(docs: DataFrame, model: Model | None, **columns: str) -> DataFrame:
     """One row per run of words of one language: ``doc_id``, ``start``, ``end`` (code
     points, end exclusive) and ``lang``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -318,7 +325,7 @@ def label_spans(docs: DataFrame, model: Model | None, **columns: str) -> DataFra
 def keep_identified(docs: DataFrame, model: Model | None, least_score: float = 0.3,
                     text_column: str = "text") -> DataFrame:
     """The rows whose text has a language with at least this share of the letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column, SLICE):
@@ -333,7 +340,7 @@ def languages_of(docs: DataFrame, **columns: str) -> DataFrame:
     """Fit on the rows that are not held out, then label every row: ``doc_id``,
     ``held_out``, ``lang_pred``, ``score``."""
     model = fit(training_rows(docs), **columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text a task holds as Python objects at one time, single texts aside.
@@ -42,6 +43,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             start = stop
 
 
+class Shared:
+    """A broadcast value whose classes travel with it.
+
+    Plain broadcasts name classes by their module, which workers would have to import. This
+    one sends the classes of this package themselves; a task unpacks it once.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._held = [value]
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_held": []}
+
+    @property
+    def value(self):
+        if not self._held:
+            self._held.append(cloudpickle.loads(self._sent.value))
+        return self._held[0]
+
+
 def is_held_out(id_column: str, modulus: int, remainder: int):
     """Whether crc32 of the key as text leaves this remainder; a null key counts as ''."""
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
