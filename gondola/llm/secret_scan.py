@@ -1,12 +1,14 @@
 """Secrets in text: three fixed patterns, and assignments read as name-literal pairs.
 
-Source and configuration text is lexed line by line into ``name = value`` pairs, where
-the value is a quoted literal, a bare word, or the name of something assigned before.
-Names stand for the literals they were given (constants are propagated), and a literal is
-scored by how sensitive the names are that it reaches, times how much it looks like a
-random string. Under a strongly sensitive name any quoted literal of eight characters or more
-counts, passphrases too. Literals over the threshold add spans of kind ``literal``; the spans of
-the fixed patterns are always kept.
+Source and configuration text is cut into tokens, and a reader of assignments goes over
+them (``assignments``): it pairs names with literals, puts constants in their place as long
+as their block lasts, and joins the pieces of a literal. A literal is scored by how sensitive
+the names are that it reaches, times how much it looks like a random string. Under a strongly
+sensitive name any quoted literal of eight characters or more counts, passphrases too, but for
+addresses and for names that end in what tells of a secret without being one
+(``password_field``, ``token_url``). Literals over the threshold add spans of kind ``literal``,
+one for each piece; the spans of the fixed patterns are always kept. All of it takes time in
+proportion to the text.
 
 Null texts count as empty and have no span. Repeated rows and repeated or null keys give
 one row each. An empty table gives an empty result. Extra columns are ignored. Texts of
@@ -17,13 +19,15 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gondola.llm.assignments import Reader
 from gondola.llm.texts import id_and_text, replaced, slices
 
 #: The three patterns, the least length of each, and the order of kinds.
@@ -46,15 +50,16 @@ SENSITIVE = {
 THRESHOLD = 0.5
 #: Least weight of a name under which a quoted literal need not look random.
 STRONG = 0.9
-#: A name, perhaps a type, an operator, and a value that is quoted, or bare to the end of the word.
-PAIR = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][\w.\-]*)(?P=quote)"""
-    r"""(?:[\t ]*:[\t ]*&?[A-Za-z_][\w.]{0,60}(?:[\[<][\w.,|<>\[\]\x20]{0,60}[\]>])?\??[\t ]{0,9}(?==(?![=>])))?"""
-    r"""[\t ]*(?:=>|:=|=|:)[\t ]*"""
-    r"""(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'"""
-    r"""|(?P<bare>[^\s"',;#(){}\[\]]+))""", re.ASCII)
+#: Last parts of names that tell of a secret but hold none.
+ABOUT = frozenset(
+    "url uri endpoint field fields name names path file filename type label input box id "
+    "ids prefix suffix header headers regex pattern hint placeholder length min max size "
+    "expiry expires ttl policy count limit format algorithm scope scopes column param "
+    "parameter env var variable title text message error page form reset".split())
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", re.ASCII)
-IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*\Z", re.ASCII)
+LOGIN_IN_ADDRESS = re.compile(r"://[^/@\s:]*+:[^/@\s]++@")
+#: Every sensitive name holds one of these.
+PIECES = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "jwt", "salt")
 
 
 def sensitivity(name: str) -> float:
@@ -77,34 +82,46 @@ def randomness(literal: str) -> float:
     return min(1.0, entropy / 3.0) * (0.75 if kinds == 2 else 1.0)
 
 
+def score_of(literal: str, name: str, weight: float, quoted: bool) -> float:
+    """The score of a literal under the most sensitive name it reaches."""
+    if "://" in literal and not LOGIN_IN_ADDRESS.search(literal):
+        return 0.0
+    last = [p.lower() for p in NAME_PART.findall(name)][-1:]
+    if last and last[0] in ABOUT:
+        mixed = all(any(test(c) for c in literal) for test in (str.isdigit, str.islower, str.isupper))
+        return weight * randomness(literal) if mixed and len(literal) >= 16 else 0.0
+    # A quoted literal that begins like a placeholder is none of the secrets.
+    sure = weight >= STRONG and quoted and len(literal.strip()) >= 8 and literal[0] not in "<$%{"
+    return weight * (1.0 if sure else randomness(literal))
+
+
 def assigned_literals(text: str) -> list[tuple[int, int, str, float]]:
     """Spans of literals with the most sensitive name each reaches, and its score."""
-    held: dict[str, tuple[int, int]] = {}
-    reached: dict[tuple[int, int], tuple[float, str]] = {}
-    quoted: set[tuple[int, int]] = set()
-    for pair in PAIR.finditer(text):
-        name, bare = pair["name"], pair["bare"]
-        group = "double" if pair["double"] is not None else (
-            "single" if pair["single"] is not None else "bare")
-        span = pair.span(group)
-        if bare is None:
-            quoted.add(span)
-        if bare is not None and IDENTIFIER.match(bare) and bare in held:
-            span = held[bare]
-        held[name] = span
-        weight = sensitivity(name)
-        if weight > reached.get(span, (0.0, ""))[0]:
-            reached[span] = (weight, name)
-    out = []
-    for (start, end), (weight, name) in reached.items():
-        literal = text[start:end]
-        # A quoted literal that begins like a placeholder is none of the secrets.
-        sure = (weight >= STRONG and (start, end) in quoted and len(literal.strip()) >= 8
-                and literal[0] not in "<$%{")
-        score = weight * (1.0 if sure else randomness(literal))
+    lowered = text.lower()
+    if not any(piece in lowered for piece in PIECES):
+        return []
+    reader = Reader(text, sensitivity)
+    found: dict[tuple[int, int], tuple[float, str]] = {}
+    for spans, (weight, name) in reader.reached.items():
+        score = score_of("".join(text[s:e] for s, e in spans), name, weight, spans in reader.quoted)
         if score >= THRESHOLD:
-            out.append((start, end, name, score))
-    return out
+            for span in spans:
+                found[span] = max(found.get(span, (0.0, "")), (score, name))
+    return [(start, end, name, score) for (start, end), (score, name) in found.items()]
+
+
+def _covered(spans: list) -> Callable[[int, int], bool]:
+    """Whether one of the spans holds a stretch; by search, for texts with very many."""
+    starts, ends, furthest = [], [], 0
+    for start, end, *_ in sorted(spans, key=lambda x: x[:2]):
+        furthest = max(furthest, end)
+        starts.append(start)
+        ends.append(furthest)
+
+    def inside(start: int, end: int) -> bool:
+        at = bisect_right(starts, start) - 1
+        return at >= 0 and ends[at] >= end
+    return inside
 
 
 def spans_of(text: str) -> list[tuple[int, int, str, str | None, float]]:
@@ -118,10 +135,10 @@ def spans_of(text: str) -> list[tuple[int, int, str, str | None, float]]:
         found += [(*m.span(), "access", None, 1.0) for m in ACCESS.finditer(text)
                   if len(m[0]) >= ACCESS_LEAST]
     found += [(*m.span(), "hex", None, 1.0) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
-        base = list(found)
+    if "=" in text or ":" in text or "</" in text:
+        inside = _covered(found)
         found += [(s, e, "literal", name, score) for s, e, name, score in assigned_literals(text)
-                  if not any(a <= s and e <= b for a, b, *_ in base)]
+                  if not inside(s, e)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
