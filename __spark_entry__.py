@@ -35,9 +35,9 @@ from oracle.stock import STOCK
 try:
     from corpus_pipeline import run as run_pipeline
     from gondola.llm import queries as llm
-except ModuleNotFoundError as missing:  # the folders and the pipeline may be absent
+except ModuleNotFoundError as missing:  # the folders, the pipeline or their packages are absent
     if missing.name not in ("gondola.llm", "corpus_pipeline"):
-        raise
+        print(f"queries over texts are left out: no module {missing.name}", file=sys.stderr)
     llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,18 @@ def _trees(spark: SparkSession, sf_dir: str):
         demand.tree_rows(_history(spark, sf_dir))))
 
 
+def _own_trees(spark: SparkSession, sf_dir: str) -> demand.ProductTrees:
+    """A model of its own for every product with under a year of months."""
+    history = _history(spark, sf_dir)
+    rows = demand.tree_rows(demand.short_history(history, "auto"))
+    return _once(spark, sf_dir, "own trees", lambda: demand.train_product_trees(rows))
+
+
+def _own_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = demand.short_history(_history(spark, sf_dir), "auto")
+    return demand.tree_mae(_own_trees(spark, sf_dir), demand.tree_rows(short), short)
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "labelled",
                  lambda: cut_lineage(stock.stock_labels(_features(spark, sf_dir))))
@@ -184,10 +196,12 @@ def _forecast_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forecast_short_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A product that the trees forecast."""
-    trained = _trained_products(spark, sf_dir).where("model = 'trees'")
-    first = trained.select(F.min("sk_produto")).scalar()
-    return demand.forecast_product(_forecast_all(spark, sf_dir, 12), first, 12)
+    """The trees' forecast of the product with the fewest months, which every table has."""
+    history = _history(spark, sf_dir)
+    counted = demand.with_month_count(history)
+    shortest = counted.agg(F.min(F.struct("n_months", "sk_produto"))["sk_produto"]).scalar()
+    trees = demand.forecast_recursive(history, _trees(spark, sf_dir), 12, route="trees")
+    return demand.forecast_product(trees, shortest, 12)
 
 
 def _trained_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +328,9 @@ def queries() -> dict[str, Query]:
         "demand_mae": _demand_mae,
         "forecast_recursive": lambda spark, sf_dir: demand.forecast_recursive(
             _history(spark, sf_dir), _trees(spark, sf_dir), route="trees"),
+        "train_demand_by_product": _own_mae,
+        "forecast_recursive_by_product": lambda spark, sf_dir: demand.forecast_recursive(
+            _history(spark, sf_dir), _own_trees(spark, sf_dir)),
         "forecast_seasonal": _seasonal,
         "forecast_seasonal_12": lambda spark, sf_dir: _seasonal(spark, sf_dir, 12),
         "forecast_product": _forecast_product,

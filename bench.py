@@ -77,11 +77,11 @@ def main() -> None:
 
     labelled = store("stock_labels", lambda: stock.stock_labels(features))
     with timed("train_stock"):
-        trained = stock.train_stock(labelled, settings=stock.ForestSettings())
+        trained = stock.train_stock(labelled, settings=stock.BoostSettings())
         metrics.class_report(trained.held_out).collect()
     with timed("train_stock_augmented"):
         metrics.class_report(
-            stock.train_stock(labelled, augment=True, settings=stock.ForestSettings()).held_out).collect()
+            stock.train_stock(labelled, augment=True, settings=stock.BoostSettings()).held_out).collect()
     with timed("train_patterns"):
         segments_model = patterns.train_patterns(features)
     run("dashboard", lambda: dashboard.dashboard(
@@ -93,7 +93,7 @@ def main() -> None:
         "metric": "total time of the headline queries", "value": round(sum(times.values()), 3),
         "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")),
         "cpus": int(CPUS), "boosting_rounds": demand.TreeSettings().rounds,
-        "forest_trees": stock.ForestSettings().trees,
+        "stock_rounds": stock.BoostSettings().rounds,
     }))
 
 

@@ -1,7 +1,7 @@
 """Demand forecasting from monthly sales history.
 
 Products with at least a year of months get a relational trend-and-season model; the
-others share one boosted-tree regressor whose forecast is fed back step by step. Every
+others a boosted-tree regressor, shared or of their own, whose forecast is fed back step by step. Every
 window is partitioned by product and a product has one row per month, so no task ever
 holds more than a few dozen rows of one key.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from gondola.functions.boosting import BoostSettings, fit_many, walked
 from gondola.functions.columns import month_diff, month_text, round_half_even, settled
 from gondola.functions.lineage import cut_lineage
 
@@ -279,7 +280,45 @@ def train_demand(rows: DataFrame, settings: TreeSettings = TreeSettings()) -> Pi
         wanted.unpersist()
 
 
-def tree_mae(model: PipelineModel, rows: DataFrame, products: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class ProductTrees:
+    """One boosted model a product, as a table: ``sk_produto``, ``base``, ``trees``.
+
+    A product without a model (none of its rows is complete) gets its level.
+    """
+
+    table: DataFrame
+    depth: int
+
+    def attached(self, rows: DataFrame) -> DataFrame:
+        """Rows with their product's model, joined once for as many scorings as follow."""
+        return rows.join(self.table.withColumnsRenamed({"base": "_base", "trees": "_trees"}), "sk_produto", "left")
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``predicted``; a model joined before stays with them."""
+        with_model = rows if "_trees" in rows.columns else self.attached(rows)
+        x = F.array(*[F.col(f).cast("double") for f in FEATURES])
+        scored = with_model.withColumn("_x", x).withColumn("predicted", F.coalesce(
+            F.col("_base") + walked(F.col("_trees"), F.col("_x"), self.depth), F.col("level"))).drop("_x")
+        return scored if with_model is rows else scored.drop("_base", "_trees")
+
+
+def train_product_trees(rows: DataFrame, settings: BoostSettings = BoostSettings()) -> ProductTrees:
+    """A model of its own for every product, on the training rows of ``tree_rows``.
+
+    Squared loss over the nine features as they are; products are spread over the tasks, and
+    a task grows the trees of many products together.
+    """
+    wanted = rows.filter("is_train").select(
+        "sk_produto", "trend", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"), "TotalQty")
+    models = fit_many(wanted, settings, key="sk_produto", y="TotalQty", order="trend")
+    return ProductTrees(cut_lineage(models), settings.depth)
+
+
+DemandModel = PipelineModel | ProductTrees
+
+
+def tree_mae(model: DemandModel, rows: DataFrame, products: DataFrame) -> DataFrame:
     """Mean absolute error per product on its held-out rows, null where it has none.
 
     ``products`` has the ``sk_produto`` of all that are forecast; a product whose few months
@@ -291,7 +330,7 @@ def tree_mae(model: PipelineModel, rows: DataFrame, products: DataFrame) -> Data
         "sk_produto", F.lit("trees").alias("model"), "mae")
 
 
-def _short_history(history: DataFrame, route: str) -> DataFrame:
+def short_history(history: DataFrame, route: str) -> DataFrame:
     """History of the products the trees forecast: under a year, or all of them."""
     counted = with_month_count(history)
     if route == "auto":
@@ -302,10 +341,10 @@ def _short_history(history: DataFrame, route: str) -> DataFrame:
 
 
 def demand_mae(
-    history: DataFrame, model: PipelineModel, rows: DataFrame, route: str = "auto"
+    history: DataFrame, model: DemandModel, rows: DataFrame, route: str = "auto"
 ) -> DataFrame:
     """Error per trained product, from whichever model forecasts it."""
-    short = _short_history(history, route).select("sk_produto").distinct()
+    short = short_history(history, route).select("sk_produto").distinct()
     trees = tree_mae(model, rows.join(short, "sk_produto", "left_semi"), short)
     return trees if route == "trees" else trees.unionByName(seasonal_mae(history))
 
@@ -330,7 +369,7 @@ def forecast_state(history: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def forecast_recursive(
-    history: DataFrame, model: PipelineModel, steps: int = 3, route: str = "auto",
+    history: DataFrame, model: DemandModel, steps: int = 3, route: str = "auto",
     compat: bool = False,
 ) -> DataFrame:
     """Step-by-step tree forecast: each prediction becomes the next step's first lag.
@@ -340,9 +379,11 @@ def forecast_recursive(
     """
     _check_steps(steps)
     carried = ["sk_produto", "last_month", "roll_6", "last_trend", "level"]
-    state = forecast_state(_short_history(history, route), compat).withColumn(
+    state = forecast_state(short_history(history, route), compat).withColumn(
         "done", F.array().cast(
             "array<struct<step:bigint,month:string,forecast:bigint,lower:bigint,upper:bigint>>"))
+    if isinstance(model, ProductTrees):
+        state, carried = model.attached(state), [*carried, "_base", "_trees"]
     for step in range(1, steps + 1):
         month = F.add_months("last_month", step)
         scored = model.transform(
@@ -371,7 +412,7 @@ def forecast_recursive(
 
 
 def forecast_all(
-    history: DataFrame, model: PipelineModel, steps: int = 3, route: str = "auto"
+    history: DataFrame, model: DemandModel, steps: int = 3, route: str = "auto"
 ) -> DataFrame:
     """Forecasts of every trained product, each by its own kind of model."""
     trees = forecast_recursive(history, model, steps, route)

@@ -1,7 +1,7 @@
 """Stock risk: rule labels, a classifier trained on them, alerts and summaries.
 
-Every frame here has one row per product. The classifier is a forest over scaled
-features; it learns from the rule labels, optionally balanced by ``augment``.
+Every frame here has one row per product. The classifier is softmax-boosted trees over
+scaled features; it learns from the rule labels, optionally balanced by ``augment``.
 """
 
 from __future__ import annotations
@@ -9,12 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gondola.functions.boosting import BoostSettings, ClassTrees, fit_classes, with_chances
 from gondola.functions.columns import hash_key, round_half_even, settled
 from gondola.functions.lineage import cut_lineage
 from gondola.functions.ordering import numbered_by_hash, quantiles
@@ -39,16 +39,6 @@ PREDICTION = [
 TRAIN_SHARE = 0.8
 
 
-@dataclass(frozen=True)
-class ForestSettings:
-    trees: int = 300
-    depth: int = 6
-    row_share: float = 0.8
-    column_share: float = 0.8
-    bins: int = 256
-    seed: int = 42
-
-
 def stock_features(features: DataFrame) -> DataFrame:
     """Product features with coverage and consistency, complete rows only."""
     yearly = F.col("AvgMonthlyQty") * 12
@@ -121,19 +111,36 @@ def stratified_split(rows: DataFrame, share: float = TRAIN_SHARE, seed: int = 42
         "_h", "row_index", "group_size")
 
 
+@dataclass(frozen=True)
+class StockModel:
+    """Scaling of the features, and boosted trees over the scaled ones."""
+
+    scaler: PipelineModel
+    trees: ClassTrees
+
+
 @dataclass(frozen=True)
 class StockTraining:
     """A fitted classifier and its predictions on the held-out rows."""
 
-    model: PipelineModel
+    model: StockModel
     held_out: DataFrame
 
 
+def with_prediction(rows: DataFrame, trees: ClassTrees) -> DataFrame:
+    """Rows with ``x``, the likeliest label (the first of a tie) and its probability."""
+    surest = F.array_max("chances")
+    labels = F.array(*[F.lit(name) for name in trees.labels])
+    return with_chances(rows, trees).withColumns({
+        "predicted": F.get(labels, (F.array_position("chances", surest) - 1).cast("int")),
+        "surest": surest}).drop("chances")
+
+
 def train_stock(
     labelled: DataFrame, augment: bool = False, split_first: bool = True,
-    mixup_samples: int = 300, settings: ForestSettings = ForestSettings(),
+    mixup_samples: int = 300, settings: BoostSettings = BoostSettings(),
 ) -> StockTraining:
-    """Fit the forest on rule labels.
+    """Fit boosted trees, one a label and round, on rule labels.
 
     With ``augment`` the training part alone is balanced, so that held-out rows are all
     real; ``split_first=False`` balances before the split.
@@ -146,35 +153,23 @@ def train_stock(
     train = split.filter("is_train").drop("is_train")
     if augment and split_first:
         train = cut_lineage(augment_classifier(train, mixup_samples=mixup_samples))
-    names = StringIndexer(
-        inputCol="label", outputCol="code", stringOrderType="alphabetAsc").fit(rows)
-    forest = RandomForestClassifier(
-        featuresCol="scaled", labelCol="code", numTrees=settings.trees,
-        maxDepth=settings.depth, subsamplingRate=settings.row_share,
-        featureSubsetStrategy=str(settings.column_share), maxBins=settings.bins,
-        seed=settings.seed,
-    ).fit(names.transform(train.select("label", array_to_vector("x").alias("scaled"))))
-    decode = IndexToString(inputCol="prediction", outputCol="predicted", labels=names.labels)
-    held_out = decode.transform(forest.transform(
-        split.filter("NOT is_train").select("label", array_to_vector("x").alias("scaled"))))
-    return StockTraining(
-        PipelineModel(stages=[*scaler.stages, forest, decode]),
-        held_out.select("label", "predicted"),
-    )
+    trees = fit_classes(train, settings)
+    held_out = with_prediction(split.filter("NOT is_train").select("label", "x"), trees)
+    return StockTraining(StockModel(scaler, trees), held_out.select("label", "predicted"))
 
 
-def stock_scores(model: PipelineModel, features: DataFrame) -> DataFrame:
+def stock_scores(model: StockModel, features: DataFrame) -> DataFrame:
     """Predicted label and confidence per product, in no particular order."""
-    surest = F.array_max(vector_to_array("probability"))
+    rows = model.scaler.transform(stock_features(features)).withColumn("x", vector_to_array("scaled"))
     return (
-        model.transform(stock_features(features))
+        with_prediction(rows, model.trees)
         .withColumn("StockStatus", F.col("predicted"))
-        .withColumn("Confidence", round_half_even(surest * 100, 1))
+        .withColumn("Confidence", round_half_even(F.col("surest") * 100, 1))
         .select(*PREDICTION)
     )
 
 
-def stock_predict(model: PipelineModel, features: DataFrame) -> DataFrame:
+def stock_predict(model: StockModel, features: DataFrame) -> DataFrame:
     """Predicted label and confidence per product, most urgent first."""
     return stock_scores(model, features).orderBy(*by_priority())
 

@@ -1,6 +1,6 @@
 """Saving and loading trained models in one folder of shared storage.
 
-Fitted stages use Spark ML's own format; relational coefficients and names are Parquet.
+Fitted stages use Spark ML's own format; trees, coefficients and names are Parquet.
 Saving replaces whatever an earlier training left.
 """
 
@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from gondola.functions.boosting import loaded_classes, saved_classes
 from gondola.operators.patterns import PatternModel
+from gondola.operators.stock import StockModel
 
 
 def save_pipeline(model: PipelineModel, path: str, name: str) -> None:
@@ -30,6 +32,16 @@ def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
+def save_stock(model: StockModel, path: str) -> None:
+    save_pipeline(model.scaler, path, "stock_scaler")
+    save_table(saved_classes(model.trees).coalesce(1), path, "stock_trees")
+
+
+def load_stock(spark: SparkSession, path: str) -> StockModel:
+    return StockModel(load_pipeline(path, "stock_scaler"),
+                      loaded_classes(load_table(spark, path, "stock_trees")))
+
+
 def save_patterns(spark: SparkSession, model: PatternModel, path: str) -> None:
     save_pipeline(model.pipeline, path, "patterns")
     names = spark.createDataFrame(list(model.names.items()), "Cluster bigint, Pattern string")

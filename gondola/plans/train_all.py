@@ -35,7 +35,7 @@ class TrainingPlan:
     route: str = "auto"
     steps: int = 3
     trees: demand.TreeSettings = field(default_factory=demand.TreeSettings)
-    forest: stock.ForestSettings = field(default_factory=stock.ForestSettings)
+    boosting: stock.BoostSettings = field(default_factory=stock.BoostSettings)
 
     def __post_init__(self):
         unknown = set(self.parts) - set(PARTS)
@@ -61,8 +61,8 @@ def _train_stock(features: DataFrame, path: str, plan: TrainingPlan) -> dict[str
     labelled = models.save_table(stock.stock_labels(features), path, "stock_labels")
     trained = stock.train_stock(
         labelled, augment=plan.augment, split_first=plan.split_first,
-        mixup_samples=plan.mixup_samples, settings=plan.forest)
-    models.save_pipeline(trained.model, path, "stock")
+        mixup_samples=plan.mixup_samples, settings=plan.boosting)
+    models.save_stock(trained.model, path)
     report = models.save_table(metrics.class_report(trained.held_out), path, "stock_report")
     models.save_table(stock.stock_scores(trained.model, features), path, "stock_predictions")
     # One row per class, plus three.

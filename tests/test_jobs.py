@@ -17,7 +17,7 @@ from gondola.sources.warehouse import (
 
 SF_DIR = "/root/testdata/sf0.001"
 QUICK = dict(trees=demand.TreeSettings(rounds=3, depth=3),
-             forest=stock.ForestSettings(trees=5, depth=4))
+             boosting=stock.BoostSettings(rounds=5, depth=4, rate=0.3))
 
 
 def rows(df):
@@ -89,7 +89,7 @@ def test_loaded_models_predict_the_same(spark, trained):
     path, _ = trained
     features = models.load_table(spark, path, "product_features")
     history = models.load_table(spark, path, "sales_history")
-    again = stock.stock_scores(models.load_pipeline(path, "stock"), features)
+    again = stock.stock_scores(models.load_stock(spark, path), features)
     assert rows(again) == rows(models.load_table(spark, path, "stock_predictions"))
     segments = patterns.pattern_predict(models.load_patterns(spark, path), features)
     assert rows(segments) == rows(models.load_table(spark, path, "segments"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gondola.operators import augment, metrics, patterns, stock
 
-FOREST = stock.ForestSettings(trees=10, depth=4)
+FEW = stock.BoostSettings(rounds=10, depth=4, rate=0.3)
 
 
 def feature_rows(spark, rows):
@@ -178,7 +178,7 @@ def products(spark):
 def test_classifier_beats_the_largest_class(spark, products, augmented, split_first):
     labelled = stock.stock_labels(products).cache()
     trained = stock.train_stock(
-        labelled, augment=augmented, split_first=split_first, mixup_samples=20, settings=FOREST)
+        labelled, augment=augmented, split_first=split_first, mixup_samples=20, settings=FEW)
     report = {r["class"]: r for r in metrics.class_report(trained.held_out).collect()}
     assert report["accuracy"].f1_score > 0.9
     rows = stock.stock_predict(trained.model, products).collect()
