@@ -16,17 +16,23 @@ Draws of rows and columns are hashes of seed, round and key: the same for any pa
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from gondola.functions.lineage import cut_lineage
 
+# Functions and classes that run inside tasks travel with the task: workers need not have
+# this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREE = "struct<feature:array<int>,threshold:array<double>,left:array<int>,value:array<double>>"
 
 ROWS_PER_BLOCK = 1 << 14

@@ -216,6 +216,16 @@ def forecast_seasonal(model: DataFrame, steps: int = 3) -> DataFrame:
     )
 
 
+ENTRY = "struct<step:bigint,month:string,forecast:bigint,lower:bigint,upper:bigint>"
+
+
+def _entry(step: Column, month: Column, guess: Column) -> Column:
+    """One step of a recursive forecast."""
+    return F.struct(
+        step.cast("long").alias("step"), month_text(month).alias("month"), guess.alias("forecast"),
+        _count_of(guess * BAND_LOW).alias("lower"), _count_of(guess * BAND_HIGH).alias("upper"))
+
+
 # --- boosted trees ---------------------------------------------------------------
 
 
@@ -291,16 +301,41 @@ class ProductTrees:
     depth: int
 
     def attached(self, rows: DataFrame) -> DataFrame:
-        """Rows with their product's model, joined once for as many scorings as follow."""
+        """Rows with their product's model."""
         return rows.join(self.table.withColumnsRenamed({"base": "_base", "trees": "_trees"}), "sk_produto", "left")
 
+    def guess(self, features: list[Column]) -> Column:
+        """The prediction of an attached model; the features are worked out once a row."""
+        x = F.array(F.array(*[f.cast("double") for f in features]))
+        by_trees = F.get(F.transform(x, lambda v: walked(F.col("_trees"), v, self.depth)), F.lit(0))
+        return F.coalesce(F.col("_base") + by_trees, F.col("level"))
+
     def transform(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``predicted``; a model joined before stays with them."""
-        with_model = rows if "_trees" in rows.columns else self.attached(rows)
-        x = F.array(*[F.col(f).cast("double") for f in FEATURES])
-        scored = with_model.withColumn("_x", x).withColumn("predicted", F.coalesce(
-            F.col("_base") + walked(F.col("_trees"), F.col("_x"), self.depth), F.col("level"))).drop("_x")
-        return scored if with_model is rows else scored.drop("_base", "_trees")
+        """Rows with ``predicted``."""
+        return self.attached(rows).withColumn(
+            "predicted", self.guess([F.col(f) for f in FEATURES])).drop("_base", "_trees")
+
+    def recursion(self, state: DataFrame, steps: int) -> DataFrame:
+        """``forecast_recursive`` from its starting state, all steps in one expression."""
+        def step(so_far: Column, k: Column) -> Column:
+            month = F.add_months("last_month", k)
+            raw = self.guess([F.month(month), F.quarter(month), F.year(month), so_far["lag_1"], so_far["lag_2"],
+                              so_far["lag_3"], so_far["roll_3"], F.col("roll_6"), F.col("last_trend") + k])
+
+            def after(guess: Column) -> Column:
+                return F.struct(
+                    guess.cast("double").alias("lag_1"), so_far["lag_1"].alias("lag_2"),
+                    so_far["lag_2"].alias("lag_3"),
+                    round_half_even((so_far["roll_3"] * 2 + guess) / 3, 1).alias("roll_3"),
+                    F.array_append(so_far["done"], _entry(k, month, guess)).alias("done"))
+
+            # The guess is bound to a name, so that it is worked out once a step.
+            return F.get(F.transform(F.array(_count_of(raw)), after), F.lit(0))
+
+        start = F.struct(*[F.col(c).cast("double").alias(c) for c in ("lag_1", "lag_2", "lag_3", "roll_3")],
+                         F.array().cast(f"array<{ENTRY}>").alias("done"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["done"]
+        return self.attached(state).select("sk_produto", F.explode(done).alias("f")).select("sk_produto", "f.*")
 
 
 def train_product_trees(rows: DataFrame, settings: BoostSettings = BoostSettings()) -> ProductTrees:
@@ -379,11 +414,11 @@ def forecast_recursive(
     """
     _check_steps(steps)
     carried = ["sk_produto", "last_month", "roll_6", "last_trend", "level"]
-    state = forecast_state(short_history(history, route), compat).withColumn(
-        "done", F.array().cast(
-            "array<struct<step:bigint,month:string,forecast:bigint,lower:bigint,upper:bigint>>"))
+    state = forecast_state(short_history(history, route), compat)
     if isinstance(model, ProductTrees):
-        state, carried = model.attached(state), [*carried, "_base", "_trees"]
+        return model.recursion(state, steps)
+    state = state.withColumn(
+        "done", F.array().cast(f"array<{ENTRY}>"))
     for step in range(1, steps + 1):
         month = F.add_months("last_month", step)
         scored = model.transform(
@@ -391,11 +426,7 @@ def forecast_recursive(
             .withColumn("year", F.year(month)).withColumn("trend", F.col("last_trend") + step)
         ).withColumn("guess", _count_of(F.col("predicted")))
         guess = F.col("guess")
-        entry = F.struct(
-            F.lit(step).cast("long").alias("step"), month_text(month).alias("month"),
-            guess.alias("forecast"), _count_of(guess * BAND_LOW).alias("lower"),
-            _count_of(guess * BAND_HIGH).alias("upper"),
-        )
+        entry = _entry(F.lit(step), month, guess)
         state = scored.select(
             *carried,
             guess.cast("double").alias("lag_1"), F.col("lag_1").alias("lag_2"),

@@ -1,8 +1,10 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gondola.functions.boosting import BoostSettings
 from gondola.operators import augment, demand
 from hand_made import history_rows, months
 
@@ -171,3 +173,31 @@ def test_gaussian_copies(spark):
 def test_gaussian_hides_copy_number(spark):
     frame = history_rows(spark, {1: series(D(2020, 1, 1), [5.0] * 3)})
     assert augment.augment_gaussian(frame).columns == frame.columns
+
+
+def test_one_model_a_product(spark, mixed):
+    """Own trees follow their product; the recursion equals one done step by step."""
+    rows = demand.tree_rows(mixed)
+    model = demand.train_product_trees(rows, BoostSettings(rounds=40, depth=3, rate=0.2))
+    fitted = {r.sk_produto for r in rows.filter("is_train").select("sk_produto").distinct().collect()}
+    assert {r.sk_produto for r in model.table.select("sk_produto").collect()} == fitted
+    short = demand.forecast_recursive(mixed, model, 2, route="trees")
+    long = demand.forecast_recursive(mixed, model, 9, route="trees")
+    assert sorted(short.collect()) == sorted(long.filter("step <= 2").collect())
+    assert all(0 <= r.lower <= r.forecast <= r.upper for r in long.collect())
+
+    state = demand.forecast_state(mixed)
+    got = {(r.sk_produto, r.step): r.forecast for r in long.collect()}
+    for step in range(1, 4):
+        month = F.add_months("last_month", step)
+        scored = model.transform(state.withColumns({
+            "month": F.month(month), "quarter": F.quarter(month), "year": F.year(month),
+            "trend": F.col("last_trend") + step})).collect()
+        for r in scored:
+            assert got[r.sk_produto, step] == max(0, round(round(r.predicted, 6)))
+        state = spark.createDataFrame([(
+            r.sk_produto, r.last_month, float(got[r.sk_produto, step]), r.lag_1, r.lag_2,
+            float(np.rint((2 * r.roll_3 + got[r.sk_produto, step]) / 3 * 10) / 10), r.roll_6, r.last_trend,
+            r.level) for r in scored],
+            "sk_produto long, last_month date, lag_1 double, lag_2 double, lag_3 double, roll_3 double, "
+            "roll_6 double, last_trend long, level double")
