@@ -77,15 +77,15 @@ def _trees(spark: SparkSession, sf_dir: str):
 
 
 def _own_trees(spark: SparkSession, sf_dir: str) -> demand.ProductTrees:
-    """A model of its own for every product with under a year of months."""
-    history = _history(spark, sf_dir)
-    rows = demand.tree_rows(demand.short_history(history, "auto"))
-    return _once(spark, sf_dir, "own trees", lambda: demand.train_product_trees(rows))
+    """A model of its own for every product."""
+    return _once(spark, sf_dir, "own trees", lambda: demand.train_product_trees(
+        demand.tree_rows(_history(spark, sf_dir))))
 
 
 def _own_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = demand.short_history(_history(spark, sf_dir), "auto")
-    return demand.tree_mae(_own_trees(spark, sf_dir), demand.tree_rows(short), short)
+    history = _history(spark, sf_dir)
+    return demand.tree_mae(_own_trees(spark, sf_dir), demand.tree_rows(history),
+                           demand.with_month_count(history))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,11 +196,11 @@ def _forecast_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forecast_short_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trees' forecast of the product with the fewest months, which every table has."""
+    """The forecast by its own trees of the product with the fewest months, which every table has."""
     history = _history(spark, sf_dir)
     counted = demand.with_month_count(history)
     shortest = counted.agg(F.min(F.struct("n_months", "sk_produto"))["sk_produto"]).scalar()
-    trees = demand.forecast_recursive(history, _trees(spark, sf_dir), 12, route="trees")
+    trees = demand.forecast_recursive(history, _own_trees(spark, sf_dir), 12, route="trees")
     return demand.forecast_product(trees, shortest, 12)
 
 
@@ -330,7 +330,7 @@ def queries() -> dict[str, Query]:
             _history(spark, sf_dir), _trees(spark, sf_dir), route="trees"),
         "train_demand_by_product": _own_mae,
         "forecast_recursive_by_product": lambda spark, sf_dir: demand.forecast_recursive(
-            _history(spark, sf_dir), _own_trees(spark, sf_dir)),
+            _history(spark, sf_dir), _own_trees(spark, sf_dir), route="trees"),
         "forecast_seasonal": _seasonal,
         "forecast_seasonal_12": lambda spark, sf_dir: _seasonal(spark, sf_dir, 12),
         "forecast_product": _forecast_product,
