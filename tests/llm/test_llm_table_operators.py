@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gondola.functions.lineage import checkpoint_dir
 from gondola.llm import attention_lm, links, simhash, substring_dedup, warc
@@ -193,6 +194,61 @@ def test_scores(spark, docs):
     assert attention_lm.score_texts(more.where("doc_id > 9999"), PATH, steps=1).count() == 0
 
 
+def test_large_blocks_are_split_and_weights_averaged_over_parts(spark, docs, monkeypatch):
+    few = docs.where("doc_id < 40").select("doc_id", "text", F.lit(1).alias("word"), F.lit("x").alias("block"),
+                                           F.lit(True).alias("held_out"), F.lit(9).alias("part"))
+    hot = few.union(few.where("doc_id = 3").select(
+        *few.columns, F.explode(F.sequence(F.lit(1), F.lit(60)))).drop("col"))
+    whole = sorted(tuple(r)[:-1] for r in attention_lm.score_texts(hot, PATH, steps=5).collect())
+    monkeypatch.setattr(attention_lm, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(attention_lm, "PART_BYTES", 20_000)
+    monkeypatch.setattr(attention_lm, "PART_SHARE", 0.5)
+    assert attention_lm._dealt(hot, 5, 1)[1] is not None
+    rows = attention_lm.score_texts(hot, PATH, steps=5).collect()
+    assert [r[:5] for r in whole] == [r[:5] for r in sorted(tuple(r)[:-1] for r in rows)]
+    assert np.allclose([r[5] for r in whole], [r[5] for r in sorted(tuple(r)[:-1] for r in rows)])
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    same = [r.score for r in rows if r.doc_id == 3]
+    assert len(same) == 61 and np.ptp(same) < 1e-4  # products of single precision
+
+
+def test_fast_scores_equal_the_plain_network():
+    draw = np.random.default_rng(2)
+    model = attention_lm.Model(draw.integers(0, 50, 3000))
+    net = model.network
+    net.set_direct(draw.integers(0, 9, net.direct.shape))
+    ids, ends = draw.integers(0, 3000, 300), np.array([0, 7, 39, 300])
+    got = model.score(ids, ends)
+    x, want = model.inputs(ids, ends), np.empty(300)
+    for text, first, scored, size in zip(*attention_lm.windows(ends)):
+        window = np.zeros(attention_lm.WIDTH, int)
+        window[:size] = x[first:first + size]
+        logs = net.log_classes(window[None], net.forward(window[None])["z"])[0]
+        for k in range(scored, size):
+            want[first + k] = logs[k, model.class_of[ids[first + k]]] + model.inside[ids[first + k]]
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_pair_counts_against_brute_force(spark):
+    model = attention_lm.Model(np.arange(40, 0, -1))
+    words = [([3, 4, 4], 2), ([7], 5), ([3, 4], 1)]
+    rows = spark.createDataFrame([(b"".join(i.to_bytes(4, "little") for i in ids), c, True) for ids, c in words],
+                                 "ids binary, c long, first boolean")
+    want = np.zeros((attention_lm.KNOWN_INPUTS + attention_lm.HASHED_INPUTS, attention_lm.CLASSES))
+    firsts = Counter({39: 6})  # six ends
+    for ids, c in words:
+        firsts[ids[0]] += c
+        for a, b in zip(ids, ids[1:]):
+            want[model.input_of[a], model.class_of[b]] += c
+    ends = Counter({39: 6})
+    for ids, c in words:
+        ends[ids[-1]] += c
+    for a, n in ends.items():
+        for b, m in firsts.items():
+            want[model.input_of[a], model.class_of[b]] += n * m / sum(firsts.values())
+    assert np.allclose(attention_lm.pair_counts(rows, model, 6), want)
+
+
 # Shared passages
 
 def test_compact_windows_cover_each_stretch_once():
