@@ -22,6 +22,7 @@ from gondola.operators import (
     patterns,
     quality,
     reports,
+    seasonal,
     stock,
 )
 from gondola.plans.train_all import TrainingPlan, train_all
@@ -30,6 +31,7 @@ from gondola.sources.warehouse import as_json_records
 from oracle.demand import DEMAND_SQL
 from oracle.quality import QUALITY
 from oracle.reports import REPORTS
+from oracle.seasonal import SEASONAL_SQL
 from oracle.stock import STOCK
 
 try:
@@ -333,6 +335,12 @@ def queries() -> dict[str, Query]:
             _history(spark, sf_dir), _own_trees(spark, sf_dir), route="trees"),
         "forecast_seasonal": _seasonal,
         "forecast_seasonal_12": lambda spark, sf_dir: _seasonal(spark, sf_dir, 12),
+        "curve_coefficients": _on_history(
+            lambda h: seasonal.curve_coefficients(seasonal.train_curve(h))),
+        "curve_mae": _on_history(lambda h: seasonal.curve_mae(seasonal.train_curve(h))),
+        "forecast_curve": _on_history(lambda h: seasonal.forecast_curve(seasonal.train_curve(h))),
+        "curve_backtest": _on_history(seasonal.curve_backtest),
+        "forecast_chosen": _on_history(seasonal.forecast_chosen),
         "forecast_product": _forecast_product,
         "forecast_short_product": _forecast_short_product,
         "forecast_keys": _forecast_keys,
@@ -389,4 +397,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL, where SQL can express them."""
     extra = {} if llm is None else llm.oracle_sql()
-    return {**extra, **REPORTS, **QUALITY, **DEMAND_SQL, **STOCK}
+    return {**extra, **REPORTS, **QUALITY, **DEMAND_SQL, **SEASONAL_SQL, **STOCK}
