@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from gondola.functions.columns import settled
-from gondola.functions.lineage import checkpoint_dir, cut_lineage
+from gondola.functions.lineage import checkpoint_dir, cut_lineage, scratch_folder
 from gondola.operators import (
     augment,
     dashboard,
@@ -26,6 +26,7 @@ from gondola.operators import (
     stock,
 )
 from gondola.plans.train_all import TrainingPlan, train_all
+from gondola.sources.mart import SalesMart, write_slices
 from gondola.sources.orders_feed import star_from_orders
 from gondola.sources.warehouse import as_json_records
 from oracle.demand import DEMAND_SQL
@@ -206,6 +207,21 @@ def _forecast_short_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.forecast_product(trees, shortest, 12)
 
 
+def _mart_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history from a mart by months that first sees the years before the last, the first of
+    them with wrong amounts, and is then brought up to date."""
+    star, folder = _star(spark, sf_dir), scratch_folder(spark)
+    sales, year = star.ft_vendas, F.floor(F.col("IDTempo") / 10_000)
+    first, last = sales.agg(F.min(year), F.max(year)).first()
+    mart = SalesMart(spark, f"{folder}/sales", f"{folder}/mart")
+    wrong = {c: F.when(year == first, F.lit(0)).otherwise(F.col(c)).cast("decimal(18,4)") for c in ("Quant", "TotLiq")}
+    write_slices(sales.filter(year < last).withColumns(wrong), mart.sales_path, width=100)
+    mart.refresh()
+    write_slices(sales.filter((year == first) | (year == last)), mart.sales_path, width=100)
+    mart.refresh()
+    return mart.history(star)
+
+
 def _trained_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _demand_mae(spark, sf_dir).select(
         "sk_produto", "model", F.col("mae").isNotNull().alias("has_error"))
@@ -306,6 +322,7 @@ def queries() -> dict[str, Query]:
     return {
         **extra,
         "sales_history": _on_star(reports.sales_history),
+        "mart_history": _mart_history,
         "product_features": _on_star(reports.product_features),
         "sales_by_territory": _on_star(reports.sales_by_territory),
         "seller_performance": _on_star(reports.seller_performance),
@@ -397,4 +414,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL, where SQL can express them."""
     extra = {} if llm is None else llm.oracle_sql()
-    return {**extra, **REPORTS, **QUALITY, **DEMAND_SQL, **SEASONAL_SQL, **STOCK}
+    return {**extra, **REPORTS, "mart_history": REPORTS["sales_history"], **QUALITY, **DEMAND_SQL, **SEASONAL_SQL, **STOCK}

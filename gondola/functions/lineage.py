@@ -23,8 +23,13 @@ def _application_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder among this application's tables, which ``drop_tables`` deletes with them."""
+    return f"{_application_folder(spark)}/{uuid.uuid4()}"
+
+
 def drop_tables(spark: SparkSession) -> None:
-    """Delete the tables that ``cut_lineage`` wrote for this application.
+    """Delete the tables and scratch folders of this application.
 
     For the end of a job: frames that still read them fail afterwards.
     """
@@ -39,6 +44,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The table outlives any executor. Unlike a checkpointed RDD it is columnar, so later
     reads take only the columns they need, and its size is known to the planner.
     """
-    path = f"{_application_folder(df.sparkSession)}/{uuid.uuid4()}"
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,27 +48,26 @@ def monthly_sales(star: StarSchema, months: int = 36) -> DataFrame:
         .join(star.calendar(since=window_start(star, months)), "IDTempo")
         .withColumn("SaleMonth", month_start(F.col("Data")))
     )
-    products = named_products(star)
+    measures = sold.groupBy("IDProduto", "SaleMonth").agg(
+        F.sum("Quant").alias("qty"), F.sum("TotLiq").alias("revenue"),
+        F.sum("PrVenda").alias("price"), F.count("PrVenda").alias("priced"),
+        F.count("*").alias("lines"),
+    )
+    return history_of(measures, sold, named_products(star))
+
+
+def history_of(measures: DataFrame, sold: DataFrame, products: DataFrame) -> DataFrame:
+    """History rows from sums per product version and month, and from rows with the orders."""
     rows = F.col("lines").cast("decimal(18,0)")
     keys = ["sk_produto", "SaleMonth"]
-    measures = (
-        sold.groupBy("IDProduto", "SaleMonth")
-        .agg(
-            F.sum("Quant").alias("qty"), F.sum("TotLiq").alias("revenue"),
-            F.sum("PrVenda").alias("price"), F.count("PrVenda").alias("priced"),
-            F.count("*").alias("lines"),
-        )
-        .join(products, "IDProduto")
-        .groupBy(*keys)
-        .agg(
-            F.max("Cod").alias("ProductID"), F.max("Descri").alias("ProductName"),
-            F.max("Grupo").alias("Category"), F.max("SubGrp").alias("Subcategory"),
-            money(F.sum("qty")).alias("TotalQty"),
-            money(F.sum("revenue")).alias("TotalRevenue"),
-            (money(F.sum(F.col("revenue") * F.col("Margem"))) / 100).alias("TotalProfit"),
-            ratio(money(F.sum("price")), F.sum("priced")).alias("AvgUnitPrice"),
-            (money(F.sum(rows * F.col("Margem"))) / F.sum("lines")).alias("AvgMargin"),
-        )
+    named = measures.join(products, "IDProduto").groupBy(*keys).agg(
+        F.max("Cod").alias("ProductID"), F.max("Descri").alias("ProductName"),
+        F.max("Grupo").alias("Category"), F.max("SubGrp").alias("Subcategory"),
+        money(F.sum("qty")).alias("TotalQty"),
+        money(F.sum("revenue")).alias("TotalRevenue"),
+        (money(F.sum(F.col("revenue") * F.col("Margem"))) / 100).alias("TotalProfit"),
+        ratio(money(F.sum("price")), F.sum("priced")).alias("AvgUnitPrice"),
+        (money(F.sum(rows * F.col("Margem"))) / F.sum("lines")).alias("AvgMargin"),
     )
     orders = (
         sold.select("IDProduto", "SaleMonth", "IDPed")
@@ -76,7 +75,7 @@ def monthly_sales(star: StarSchema, months: int = 36) -> DataFrame:
         .groupBy(*keys)
         .agg(F.count_distinct("IDPed").alias("OrderCount"))
     )
-    return measures.join(orders, keys).select(*SALES_HISTORY)
+    return named.join(orders, keys).select(*SALES_HISTORY)
 
 
 def sales_history(star: StarSchema, months: int = 36) -> DataFrame:

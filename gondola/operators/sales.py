@@ -22,8 +22,12 @@ def margin() -> Column:
     return F.coalesce(F.col("Margem"), F.lit(0).cast("decimal(9,4)"))
 
 
+def valid_rows(sales: DataFrame) -> DataFrame:
+    return sales.filter((F.col("Quant") > 0) & (F.col("TotLiq") > 0))
+
+
 def valid_sales(star: StarSchema) -> DataFrame:
-    return star.ft_vendas.filter((F.col("Quant") > 0) & (F.col("TotLiq") > 0))
+    return valid_rows(star.ft_vendas)
 
 
 def sale_dates(star: StarSchema, sales: DataFrame | None = None) -> DataFrame:
