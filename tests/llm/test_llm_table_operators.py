@@ -1,10 +1,11 @@
 """Operators that join or count over the whole table, against brute force."""
 
+import itertools
 import math
 import random
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -295,6 +296,57 @@ def test_shared_passages(spark):
     assert substring_dedup.passage_classes(table.where("doc_id > 5000")).count() == 0
 
 
+@pytest.mark.parametrize("groups, size, length, edits", [(12, 20, 60, 1), (2, 100, 60, 1), (1, 1000, 100, 2)])
+def test_recall_in_groups_of_edited_copies(spark, groups, size, length, edits):
+    """Truth is the exact similarity of every pair of copies."""
+    draw = random.Random(size)
+    word = lambda: f"w{draw.randrange(20000)}"
+    some = lambda n: [word() for _ in range(n)]
+    rows, true = [], []
+    for _ in range(groups):
+        passage, copies = some(length), []
+        for _ in range(size):
+            copy = list(passage)
+            for place in draw.sample(range(length), edits):
+                copy[place] = word()
+            shingles = {tuple(copy[i:i + 5]) for i in range(length - 4)}
+            copies.append((len(rows), shingles))
+            rows.append((len(rows), " ".join([*some(draw.randint(30, 120)), *copy, *some(draw.randint(30, 120))])))
+        true += [(a, b) for (a, x), (b, y) in itertools.combinations(copies, 2)
+                 if len(x & y) >= 0.8 * len(x | y)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.passage_classes(table).collect()}
+    wanted = {d for pair in true for d in pair}
+    assert len(wanted & set(got)) >= 0.95 * len(wanted)
+    together = sum(a in got and b in got and got[a].class_id == got[b].class_id for a, b in true)
+    assert together >= 0.95 * len(true)
+    sizes = Counter(r.class_id for r in got.values())
+    assert all(r.class_size == sizes[r.class_id] for r in got.values())
+    for r in got.values():  # classes do not reach beyond the planted groups
+        assert r.class_id // size == r.doc_id // size
+
+
+def test_long_texts_and_one_stretch_for_overlapping_ones(spark):
+    draw = random.Random(8)
+    some = lambda n: [f"w{draw.randrange(50000)}" for _ in range(n)]
+    long = some(200_000)
+    moved = [*long[:90_000], *some(40), *long[90_000:]]
+    rows = [(1, " ".join(long)), (2, " ".join(moved)), (3, " ".join([*some(30), *long[150_000:150_080]])),
+            (4, " ".join(some(1000)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    links = substring_dedup.repeated_passages(table).collect()
+    by_pair = defaultdict(list)
+    for r in links:
+        by_pair[r.doc_id, r.match_id].append((r.start, r.end))
+    assert set(by_pair) >= {(2, 1)} and {d for pair in by_pair for d in pair} == {1, 2, 3}
+    for found in by_pair.values():
+        found.sort()
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    assert sum(end - start for start, end in by_pair[2, 1]) >= 199_000
+    text = rows[2][1].split()
+    assert any(text[r.start:r.end] == long[150_000:150_080] for r in links if r.doc_id == 3)
+
+
 def test_exact_copies_with_returning_phrases():
     passage = np.arange(76, dtype=np.uint32) + 7
     passage[40:42] = passage[2:4]
