@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,40 @@ def test_learning_reaches_held_out_rows(spark):
     assert hit > 0.93  # a twentieth of the labels is noise
     loss = -np.mean([math.log(p[model.labels.index(r[1])]) for p, r in zip(got, rest)])
     assert loss < 0.4
+
+
+def test_scores_of_one_model_are_those_of_the_walk(spark):
+    """Nulls, NaN, short and absent arrays included; all trees of a label step together in tasks."""
+    model = boosting.fit_classes(frame(spark, rows_of(300)), BoostSettings(rounds=15, depth=4, rate=0.3))
+    odd = frame(spark, [
+        *rows_of(40, seed=8), (100, "", [0.5, None, 1.0]), (101, "", [math.nan, 2.0, math.nan]),
+        (102, "", [0.2]), (103, "", []), (104, "", None), (105, "", [0.1, 1.0, 0.3, 7.0]),
+        (106, "", [math.inf, -math.inf, 0.0])])
+    scored = boosting.with_chances(odd, model)
+    margins = F.transform("_forest", lambda trees: boosting.walked(trees, F.col("x"), model.depth))
+    walked = {r.row_id: r.m for r in odd.withColumn(
+        "_forest", model.trees.select("forest").scalar()).select("row_id", margins.alias("m")).collect()}
+    forest = [[t.asDict() for t in trees] for trees in model.trees.first()["forest"]]
+    told = boosting._margins(forest, model.depth)
+    got = {r.row_id: told(pa.array([r.x], pa.list_(pa.float64()))).to_pylist()[0] for r in odd.collect()}
+    assert got == walked
+    assert "ArrowEvalPython" in scored._jdf.queryExecution().executedPlan().toString()
+    sums = {r.row_id: r.chances for r in scored.collect()}
+    assert all(None in c or abs(sum(c) - 1) < 1e-12 for c in sums.values()) and len(sums) == len(walked)
+
+
+def test_the_driver_gets_splits_and_no_sums(spark, monkeypatch):
+    """Sums of all blocks meet in tasks, however many blocks there are."""
+    got = []
+    grow = boosting._grow
+
+    def told(splits_of, *rest):
+        def run(*held):
+            got.append(splits_of(*held))
+            return got[-1]
+        return grow(run, *rest)
+
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", 50)
+    monkeypatch.setattr(boosting, "_grow", told)
+    boosting.fit_classes(frame(spark, rows_of(600)), BoostSettings(rounds=2, depth=4, bins=64))
+    assert got and all(np.size(part) <= 2 * 2 ** 4 for found in got for splits in found.values() for part in splits)
