@@ -475,6 +475,7 @@ def loaded_classes(table: DataFrame) -> ClassTrees:
 # --- many small models --------------------------------------------------------------------
 
 ROWS_PER_GROUP = 1 << 13
+KEYS_PER_BATCH = 64
 
 
 @dataclass
@@ -503,6 +504,13 @@ class _Nodes:
         self.value = np.concatenate([self.value, values.ravel()])
         self.owner = np.concatenate([self.owner, np.repeat(self.owner[at], 2)])
 
+    def of(self, first: int, end: int) -> _Nodes:
+        """The nodes of some keys, with places of their own."""
+        mine = (self.owner >= first) & (self.owner < end)
+        place = np.cumsum(mine, dtype=np.int32) - 1
+        left = np.where(self.feature[mine] >= 0, place[self.left[mine]], 0)
+        return _Nodes(self.feature[mine], self.threshold[mine], left, self.value[mine], self.owner[mine] - first)
+
     def step(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
         f = self.feature[node]
         right = x[np.arange(len(x)), f] > self.threshold[node]
@@ -622,14 +630,18 @@ def _tree_lists(rounds: list[_Nodes], keys: int) -> pa.Array:
 
 
 def _fit_groups(settings: BoostSettings) -> Callable:
-    def fitted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def fitted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key = batch.column("key").to_numpy()
         keys, owner = np.unique(key, return_inverse=True)
         x = batch.column("x").flatten().to_numpy().reshape(len(key), -1)
         base, rounds = grown_together(
             keys, owner, batch.column("place").to_numpy(), x, batch.column("y").to_numpy(), settings)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys), pa.array(base), _tree_lists(rounds, len(keys))], ["key", "base", "trees"])
+        # A model is tens of kilobytes: a few are laid out and handed on at a time.
+        for first in range(0, len(keys), KEYS_PER_BATCH):
+            end = min(first + KEYS_PER_BATCH, len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[first:end]), pa.array(base[first:end]),
+                 _tree_lists([r.of(first, end) for r in rounds], end - first)], ["key", "base", "trees"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -646,12 +658,12 @@ def _fit_groups(settings: BoostSettings) -> Callable:
                 key = whole.column("key").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))
                 if cut:
-                    yield fitted(whole.slice(0, cut))
+                    yield from fitted(whole.slice(0, cut))
                 held, rows = [whole.slice(cut)], len(key) - cut
                 if not cut:  # one key fills the group: it goes on growing
                     rows = 0
         if held and sum(b.num_rows for b in held):
-            yield fitted(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield from fitted(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
     return run
 
 

@@ -217,3 +217,18 @@ def test_the_driver_gets_splits_and_no_sums(spark, monkeypatch):
     monkeypatch.setattr(boosting, "_grow", told)
     boosting.fit_classes(frame(spark, rows_of(600)), BoostSettings(rounds=2, depth=4, bins=64))
     assert got and all(np.size(part) <= 2 * 2 ** 4 for found in got for splits in found.values() for part in splits)
+
+
+def test_models_of_many_keys_are_handed_on_a_few_at_a_time(monkeypatch):
+    draw = np.random.default_rng(3)
+    keys = np.repeat(np.arange(200), 9)
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(keys), pa.array(np.tile(np.arange(9), 200)),
+        pa.array(draw.random((len(keys), 2)).tolist(), pa.list_(pa.float64())), pa.array(draw.random(len(keys)))],
+        ["key", "place", "x", "y"])
+    settings = BoostSettings(rounds=5, depth=3)
+    given = list(boosting._fit_groups(settings)(iter([batch])))
+    assert [b.num_rows for b in given] == [64, 64, 64, 8]
+    monkeypatch.setattr(boosting, "KEYS_PER_BATCH", 1000)
+    whole = list(boosting._fit_groups(settings)(iter([batch])))
+    assert len(whole) == 1 and pa.Table.from_batches(given).to_pylist() == whole[0].to_pylist()
