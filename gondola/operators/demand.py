@@ -37,6 +37,7 @@ Z_80 = 1.2815515655446004
 # Features that are quantities; the trees see them as shares of the product's level.
 QUANTITIES = ["lag_1", "lag_2", "lag_3", "roll_3", "roll_6"]
 ROWS_PER_TASK = 50_000
+MOST_ROWS_PER_TASK = 500_000
 STEPS_PER_CHECKPOINT = 4
 
 
@@ -257,6 +258,12 @@ def tree_rows(history: DataFrame, leak_free: bool = True) -> DataFrame:
     return demand_split(demand_features(levelled.drop("early"), leak_free))
 
 
+def _round_tasks(n: int, cores: int) -> int:
+    """Tasks of a round's jobs: a few thousand such jobs each report every task to the driver, so
+    once all cores are busy twice over a task takes more rows, up to ``MOST_ROWS_PER_TASK``."""
+    return max(1, min(-(-n // ROWS_PER_TASK), 2 * cores), -(-n // MOST_ROWS_PER_TASK))
+
+
 def train_demand(rows: DataFrame, settings: TreeSettings = TreeSettings()) -> PipelineModel:
     """One regressor for all products, fitted on the training rows of ``tree_rows``.
 
@@ -275,7 +282,7 @@ def train_demand(rows: DataFrame, settings: TreeSettings = TreeSettings()) -> Pi
     wanted = rows.filter("is_train").select(
         *FEATURES, "level", (F.col("TotalQty") / level).cast("double").alias("share"))
     n = wanted.count()
-    tasks, leaf = max(1, -(-n // ROWS_PER_TASK)), max(1, int(n * settings.leaf_share))
+    tasks, leaf = _round_tasks(n, rows.sparkSession.sparkContext.defaultParallelism), max(1, int(n * settings.leaf_share))
     trees = GBTRegressor(
         featuresCol="features", labelCol="share", predictionCol="predicted_share",
         maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate,

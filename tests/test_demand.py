@@ -201,3 +201,10 @@ def test_one_model_a_product(spark, mixed):
             r.level) for r in scored],
             "sk_produto long, last_month date, lag_1 double, lag_2 double, lag_3 double, roll_3 double, "
             "roll_6 double, last_trend long, level double")
+
+
+def test_tasks_of_a_round_do_not_grow_with_every_row():
+    assert [demand._round_tasks(n, 12) for n in (0, 1, 50_001, 600_000)] == [1, 1, 2, 12]
+    # By 50,000 rows a task these would be 400 and 80 tasks, in each of a few thousand jobs.
+    assert demand._round_tasks(20_000_000, 12) == 40
+    assert demand._round_tasks(4_000_000, 12) == 24
