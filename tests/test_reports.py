@@ -4,7 +4,9 @@ from decimal import Decimal
 
 import pytest
 
+from gondola.functions.lineage import size_tasks
 from gondola.operators import quality, reports
+from gondola.operators.sales import with_stored_sales
 from gondola.sources.orders_feed import star_from_orders
 from gondola.sources.schema import SCHEMAS, conform
 from hand_made import make_star, months, product, sale
@@ -170,3 +172,43 @@ def test_a_table_that_cannot_be_read_is_a_row(spark, tmp_path):
     rows = {r.table_name: r for r in reports.table_row_counts(replace(star, dim_tempo=lost)).collect()}
     assert not rows["dim_tempo"].ok and rows["dim_tempo"].row_count is None and rows["dim_tempo"].error
     assert all(r.ok and r.row_count > 0 for name, r in rows.items() if name != "dim_tempo")
+
+
+def test_features_add_up_a_version_without_months(spark):
+    """Sums go from sale to version to product, so that no wide row is kept for each month."""
+    star = make_star(
+        spark, [sale(d, v, qty=2, value=50, order=v * 100 + i) for v in (1, 2) for i, d in enumerate(months(D(2019, 1, 5), 30))],
+        [product(1, 7, margin=10), product(2, 7, margin=20), product(2, 7, margin=30)])
+    frame = reports.product_features(star)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    sums = [line for line in plan.splitlines() if "Aggregate [" in line and "sum(" in line]
+    assert sums and not [line for line in sums if "trunc(" in line or "_groupingexpression" in line or "month#" in line]
+    row = frame.first()
+    # A repeated version counts twice, each time with its own margin.
+    assert (row.MonthsWithSales, row.OrderCount, row.TotalQty12m) == (30, 60, 180.0)
+    assert row.TotalProfit12m == 900.0
+
+
+def test_stored_sales_give_the_same_and_are_joined_once(spark):
+    star = star_from_orders(spark, "/root/testdata/sf0.001")
+    stored = with_stored_sales(star)
+    for build in (reports.sales_history, reports.product_features, reports.dashboard_kpis, reports.top_sellers):
+        assert sorted(map(str, build(stored).collect())) == sorted(map(str, build(star).collect()))
+    assert "lineitem" in "".join(reports.product_features(star).inputFiles())
+    assert "lineitem" not in "".join(reports.product_features(stored).inputFiles())
+
+
+def test_shuffles_have_more_partitions_for_more_rows(spark):
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = [spark.conf.get(name, None) for name in names]
+    try:
+        size_tasks(spark, 1_000)
+        assert spark.conf.get(names[0]) == spark.conf.get("spark.sql.shuffle.partitions")
+        size_tasks(spark, 216_000_000)
+        assert int(spark.conf.get(names[0])) == 540
+        plan = spark.range(10).selectExpr("id % 3 AS k").groupBy("k").count()
+        assert ", 540)" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
