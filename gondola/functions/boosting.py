@@ -1,9 +1,10 @@
 """Gradient-boosted trees from histograms, and trees that plain expressions can walk.
 
-Two ways to fit share the arithmetic of splits. ``fit_classes`` fits one model on all rows:
+Three ways to fit share the arithmetic of splits. ``fit_classes`` fits one model on all rows:
 rows lie in blocks over the cluster, a job per level adds up gradients and Hessians per
 class, node, feature and bin; a class's sums (their size does not depend on the rows) meet in
-one task, which picks its splits, and only these reach the driver. ``fit_many`` fits one small
+one task, which picks its splits, and only these reach the driver. ``fit_regression`` does the same
+for one regressor, whose sums meet by node. ``fit_many`` fits one small
 model for each of many keys: rows of a key meet in one task, and a task grows the trees of
 many keys together, level by level.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -286,8 +287,7 @@ def _fit_by_jobs(table: DataFrame, settings: BoostSettings, classes: int, featur
         rounds.append(trees)
         old, state = state, state.map(_moved(trees, settings.depth)).persist(StorageLevel.MEMORY_AND_DISK)
         if (round_ + 1) % ROUNDS_PER_TABLE == 0:
-            table = spark.createDataFrame(
-                state.map(lambda b: tuple(bytearray(np.ascontiguousarray(x).tobytes()) for x in b)), BLOCK)
+            table = spark.createDataFrame(state.map(_as_row), BLOCK)
         else:
             state.foreach(_nothing)
         if old is not None and (round_ + 1) % ROUNDS_PER_TABLE:
@@ -335,6 +335,10 @@ def _nothing(block) -> None:
     return None
 
 
+def _as_row(block) -> tuple:
+    return tuple(bytearray(np.ascontiguousarray(x).tobytes()) for x in block)
+
+
 def _moved(trees: list[GrowingTree], depth: int) -> Callable:
     """Margins after a round."""
     def run(block):
@@ -377,6 +381,226 @@ def _thresholds(tree: GrowingTree, edges: list[np.ndarray]) -> tuple:
     return tree.feature, cuts, tree.left, tree.value
 
 
+# --- one regressor for all rows ----------------------------------------------------------
+
+ROWS_IN_ONE_TASK = 1 << 17
+ROWS_PER_WIDE_BLOCK = 1 << 16
+NODE_TASKS = 4
+
+
+def _wide_rows(features: int) -> Callable:
+    """A stored block as arrays: bins by feature, target, key for draws, and the sum of the trees so far."""
+    def run(row):
+        return (np.frombuffer(row[0], np.uint8).reshape(features, -1), np.frombuffer(row[1]),
+                np.frombuffer(row[2], np.int64), np.frombuffer(row[3]))
+    return run
+
+
+def _guessed(tree: GrowingTree) -> Callable:
+    """Sums of the trees after a round."""
+    def run(block):
+        bins, y, key, guess = block
+        return bins, y, key, guess + np.array(tree.value)[_places(tree, bins)]
+    return run
+
+
+def _drawn(settings: BoostSettings, round_: int, absolute: bool) -> Callable:
+    """Bins of the rows drawn for a round, and what its tree is fitted to: the target at first,
+    then the residuals, or for absolute loss whether they are 0 and more."""
+    def run(block):
+        bins, y, key, guess = block
+        used = draws(settings.seed, round_, key) < settings.row_share
+        wanted = y if round_ == 0 else y >= guess if absolute else y - guess
+        return bins[:, used], wanted[used]
+    return run
+
+
+def _places(tree: GrowingTree, bins: np.ndarray) -> np.ndarray:
+    """The node that each row has come to, from bins by feature."""
+    feature, cut, left = (np.array(x) for x in (tree.feature, tree.bin, tree.left))
+    n = bins.shape[1]
+    flat, rows, node = bins.ravel(), np.arange(n), np.zeros(n, np.int64)
+    inner = feature >= 0
+    start = np.maximum(feature, 0) * n
+    left, cut = np.where(inner, left, np.arange(len(left))), np.where(inner, cut, 255)
+    level = {0}
+    while level := {at for node_ in level if inner[node_] for at in (left[node_], left[node_] + 1)}:
+        node = left[node] + (flat[start[node] + rows] > cut[node])
+    return node
+
+
+def _target_sums(blocks, tree: GrowingTree, active: list[int], n_bins: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per active node its sums over some blocks: feature x bin x (less target, rows)."""
+    number = np.full(len(tree.feature), -1)
+    number[active] = range(len(active))
+    k, total = len(active), None
+    for bins, wanted in blocks:
+        if len(tree.feature) > 1:
+            at = number[_places(tree, bins)]
+            kept = at >= 0
+            if not kept.all():
+                bins, wanted, at = bins[:, kept], wanted[kept], at[kept]
+        else:
+            at = np.zeros(len(wanted), np.int64)
+        if total is None:
+            total = np.zeros((k, len(bins), n_bins, 2))
+        if wanted.dtype == bool:  # +1 or -1: two counts tell their sum
+            place = (at * 2 + wanted) * n_bins
+            for f, column in enumerate(bins):
+                down, up = np.bincount(place + column, minlength=k * 2 * n_bins).reshape(k, 2, n_bins).swapaxes(0, 1)
+                total[:, f, :, 0] += down - up
+                total[:, f, :, 1] += down + up
+        else:
+            place = at * n_bins
+            for f, column in enumerate(bins):
+                cell = place + column
+                total[:, f, :, 0] -= np.bincount(cell, wanted, k * n_bins).reshape(k, n_bins)
+                total[:, f, :, 1] += np.bincount(cell, minlength=k * n_bins).reshape(k, n_bins)
+    if total is not None:
+        yield from zip(active, total)
+
+
+def _node_split(node: int, sums: np.ndarray, settings: BoostSettings, round_: int) -> tuple:
+    """``best_splits`` of one node, over the columns drawn for it."""
+    allowed = drawn_columns(settings, round_, node, len(sums))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return best_splits(sums[None], allowed[None], settings)
+
+
+def _joined_splits(found: dict[int, tuple], nodes: list[int]) -> dict[int, tuple]:
+    """Splits of single nodes in the order of the nodes, as of one class."""
+    return {0: tuple(np.concatenate(part) for part in zip(*(found[node] for node in nodes)))} if found else {}
+
+
+def _regression_tree(sums_of: Callable, settings: BoostSettings, round_: int, features: int) -> GrowingTree:
+    """One round's tree; a node too light to be parted is left out of the sums."""
+    settings = settings if round_ else replace(settings, rate=1.0)
+
+    def splits(held, allowed):
+        (tree,), (active,) = held
+        return _joined_splits(sums_of(tree, active), active)
+
+    return _grow(splits, settings, round_, 1, features)[0]
+
+
+def fit_regression(rows: DataFrame, settings: BoostSettings, absolute: bool = True, tasks: int = 1) -> list[tuple]:
+    """Boosted regression on the array ``x``, ``y`` and ``key``; returns the trees, as ``TREE``.
+
+    The first tree is fitted to ``y`` and counts in full. The others are fitted to the residuals, or
+    their signs for ``absolute`` loss, and count by the rate. A node's split is the one of least
+    squares over columns drawn for the node; ``least_weight`` is the least number of drawn rows of
+    a child. Up to ``ROWS_IN_ONE_TASK`` rows all rounds run in one task; more rows lie in blocks in
+    ``tasks`` tasks, with a job per level, and only splits reach the driver.
+    """
+    shape = rows.agg(F.max(F.size("x")), F.count("*")).first()
+    features, n = shape[0] or 0, shape[1]
+    if not n:
+        raise ValueError("there are no rows to fit a regression on")
+    settings = replace(settings, ridge=0.0)
+    edges = bin_edges(rows, features, min(settings.bins, 256))
+    n_bins = max(map(len, edges), default=0) + 1
+    alone = n <= ROWS_IN_ONE_TASK
+    table = rows.select("x", F.col("y").cast("double"), F.col("key").cast("long")).repartition(
+        1 if alone else tasks, "key").sortWithinPartitions("key").mapInArrow(
+        _wide_blocks(edges, n if alone else ROWS_PER_WIDE_BLOCK), BLOCK)
+    fit = _regression_in_one_task if alone else _regression_by_jobs
+    return [_thresholds(t, edges) for t in fit(table, settings, absolute, features, n_bins, tasks)]
+
+
+def _wide_blocks(edges: list[np.ndarray], most: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def block() -> pa.RecordBatch:
+            whole = [np.concatenate(part, axis=-1) for part in zip(*held)]
+            held.clear()
+            return _packed([whole])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            bins = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)]).astype(np.uint8)
+            held.append((bins, batch.column("y").to_numpy(), batch.column("key").to_numpy(),
+                         np.zeros(batch.num_rows)))
+            if sum(len(y) for _, y, *_ in held) >= most:
+                yield block()
+        if held:
+            yield block()
+    return run
+
+
+def _regression_by_jobs(table: DataFrame, settings: BoostSettings, absolute: bool, features: int,
+                        n_bins: int, tasks: int) -> list[GrowingTree]:
+    """A job per level over the rows drawn for the round; the rows are cut from their lineage at times."""
+    spark, grown, state, drawn = table.sparkSession, [], None, None
+    for round_ in range(settings.rounds):
+        old = state, drawn
+        if round_ % ROUNDS_PER_TABLE == 0:
+            if state is not None:
+                table = spark.createDataFrame(state.map(_guessed(grown[-1])).map(_as_row), BLOCK)
+            table = cut_lineage(table)
+            state = table.rdd.coalesce(tasks).map(_wide_rows(features))
+        else:
+            state = state.map(_guessed(grown[-1]))
+        state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        drawn = state.map(_drawn(settings, round_, absolute)).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def sums_of(tree, active, round_=round_, drawn=drawn):
+            """Sums of a node meet in one task, in the order of their tasks, which picks its split."""
+            def told(part, blocks):
+                return ((node, (part, sums)) for node, sums in _target_sums(blocks, tree, active, n_bins))
+
+            def split(found):
+                sums = sum(s for _, s in sorted(found[1], key=lambda ps: ps[0]))
+                return found[0], _node_split(found[0], sums, settings, round_)
+
+            return drawn.mapPartitionsWithIndex(told).groupByKey(
+                min(len(active), NODE_TASKS)).map(split).collectAsMap()
+
+        grown.append(_regression_tree(sums_of, settings, round_, features))
+        for frame in old:
+            if frame is not None:
+                frame.unpersist()
+    for frame in (state, drawn):
+        if frame is not None:
+            frame.unpersist()
+    return grown
+
+
+def _regression_in_one_task(table: DataFrame, settings: BoostSettings, absolute: bool, features: int,
+                            n_bins: int, tasks: int) -> list[GrowingTree]:
+    """The same rounds inside one task, for a bounded number of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [_wide_rows(features)(row) for batch in batches
+                  for row in zip(*(c.to_pylist() for c in batch.columns))]
+        for round_ in range(settings.rounds if blocks else 0):
+            drawn = [*map(_drawn(settings, round_, absolute), blocks)]
+
+            def sums_of(tree, active, round_=round_, drawn=drawn):
+                return {node: _node_split(node, sums, settings, round_)
+                        for node, sums in _target_sums(drawn, tree, active, n_bins)}
+
+            tree = _regression_tree(sums_of, settings, round_, features)
+            blocks = [*map(_guessed(tree), blocks)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([round_], pa.int32()), *[pa.array([getattr(tree, name)], pa.list_(kind)) for name, kind in (
+                    ("feature", pa.int32()), ("bin", pa.int32()), ("left", pa.int32()), ("value", pa.float64()))]],
+                ["round", "feature", "bin", "left", "value"])
+
+    found = table.mapInArrow(
+        run, "round int, feature array<int>, bin array<int>, left array<int>, value array<double>").collect()
+    return [GrowingTree(*(list(row[k]) for k in ("feature", "bin", "left", "value")))
+            for row in sorted(found, key=lambda r: r["round"])]
+
+
+def with_sum(rows: DataFrame, trees: list[tuple], depth: int, x: str = "x", name: str = "predicted") -> DataFrame:
+    """Rows with the sum of the trees' values, as ``walked`` gives it."""
+    forest = [[dict(zip(("feature", "threshold", "left", "value"), t)) for t in trees]]
+    scored = F.arrow_udf(_margins(forest, depth), "array<double>")
+    return rows.withColumn(name, F.get(scored(F.col(x).cast("array<double>")), F.lit(0)))
+
+
 # --- scoring by expressions --------------------------------------------------------------
 
 

@@ -10,14 +10,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from gondola.functions.boosting import BoostSettings, fit_many, walked
+from gondola.functions.boosting import BoostSettings, fit_many, fit_regression, walked, with_sum
 from gondola.functions.columns import month_diff, month_text, round_half_even, settled
 from gondola.functions.lineage import cut_lineage
 
@@ -264,14 +268,34 @@ def _round_tasks(n: int, cores: int) -> int:
     return max(1, min(-(-n // ROWS_PER_TASK), 2 * cores), -(-n // MOST_ROWS_PER_TASK))
 
 
+class SharedTrees(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Boosted trees as a stage of a pipeline; a tree is lists of feature, threshold, left child and value."""
+
+    trees = Param(Params._dummy(), "trees", "the trees, in the order of the rounds")
+    depth = Param(Params._dummy(), "depth", "depth of the trees", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, trees=None, depth=None, featuresCol="features", predictionCol="prediction"):
+        super().__init__()
+        self._set(**{name: value for name, value in self._input_kwargs.items() if value is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        rows = dataset.withColumn("_x", vector_to_array(self.getFeaturesCol()))
+        return with_sum(rows, self.getOrDefault(self.trees), self.getOrDefault(self.depth), "_x",
+                        self.getPredictionCol()).drop("_x")
+
+
 def train_demand(rows: DataFrame, settings: TreeSettings = TreeSettings()) -> PipelineModel:
     """One regressor for all products, fitted on the training rows of ``tree_rows``.
 
     Quantities, the target among them, are taken relative to the product's level, so that
-    products of any size share the trees. The rows are dealt out by their number: a round
-    is several small jobs, and few rows in many tasks would cost more than the work. A leaf
-    holds at least ``leaf_share`` of the rows, so that noise is not learned by heart.
+    products of any size share the trees. The rows are dealt out by product and month, and so
+    are the draws: a round is several small jobs, and few rows in many tasks would cost more
+    than the work. A leaf holds at least ``leaf_share`` of the rows, so that noise is not
+    learned by heart.
     """
+    if settings.loss not in ("absolute", "squared"):
+        raise ValueError(f"loss must be 'absolute' or 'squared', not {settings.loss!r}")
     shares = ", ".join(f"{name} / coalesce(nullif(level, 0), 1) AS {name}_share" for name in QUANTITIES)
     relative = SQLTransformer(statement=f"SELECT *, {shares} FROM __THIS__")
     inputs = [f"{f}_share" if f in QUANTITIES else f for f in FEATURES]
@@ -280,21 +304,21 @@ def train_demand(rows: DataFrame, settings: TreeSettings = TreeSettings()) -> Pi
         "SELECT *, predicted_share * coalesce(nullif(level, 0), 1) AS predicted FROM __THIS__"))
     level = F.coalesce(F.nullif(F.col("level"), F.lit(0.0)), F.lit(1.0))
     wanted = rows.filter("is_train").select(
-        *FEATURES, "level", (F.col("TotalQty") / level).cast("double").alias("share"))
-    n = wanted.count()
-    tasks, leaf = _round_tasks(n, rows.sparkSession.sparkContext.defaultParallelism), max(1, int(n * settings.leaf_share))
-    trees = GBTRegressor(
-        featuresCol="features", labelCol="share", predictionCol="predicted_share",
-        maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate,
-        subsamplingRate=settings.row_share, featureSubsetStrategy=str(settings.column_share),
-        maxBins=settings.bins, minInstancesPerNode=leaf, lossType=settings.loss, seed=settings.seed, checkpointInterval=10,
-    )
-    wanted = wanted.repartition(tasks, *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+        *FEATURES, "level", (F.col("TotalQty") / level).cast("double").alias("y"),
+        F.xxhash64("sk_produto", "trend").alias("key"))
+    wanted = assembler.transform(relative.transform(wanted)).select(vector_to_array("features").alias("x"), "y", "key")
+    wanted = wanted.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return PipelineModel(stages=[
-            *Pipeline(stages=[relative, assembler, trees]).fit(wanted).stages, back])
+        n = wanted.count()
+        trees = fit_regression(
+            wanted, BoostSettings(
+                settings.rounds, settings.depth, settings.rate, settings.row_share, settings.column_share,
+                settings.bins, least_weight=max(1, int(n * settings.leaf_share)), seed=settings.seed),
+            settings.loss == "absolute", _round_tasks(n, rows.sparkSession.sparkContext.defaultParallelism))
     finally:
         wanted.unpersist()
+    return PipelineModel(stages=[relative, assembler, SharedTrees(
+        trees=trees, depth=settings.depth, featuresCol="features", predictionCol="predicted_share"), back])
 
 
 @dataclass(frozen=True)

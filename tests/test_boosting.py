@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -232,3 +233,50 @@ def test_models_of_many_keys_are_handed_on_a_few_at_a_time(monkeypatch):
     monkeypatch.setattr(boosting, "KEYS_PER_BATCH", 1000)
     whole = list(boosting._fit_groups(settings)(iter([batch])))
     assert len(whole) == 1 and pa.Table.from_batches(given).to_pylist() == whole[0].to_pylist()
+
+
+def targets(spark, n, step=None):
+    draw = np.random.default_rng(11)
+    x = np.round(draw.random((n, 3)) * 40)
+    y = np.where(x[:, 0] > 17, 5.0, 1.0) + x[:, 1] / 40 if step is None else np.where(x[:, 0] > step, 5.0, 1.0)
+    return spark.createDataFrame([(k, v.tolist(), float(t)) for k, (v, t) in enumerate(zip(x, y))],
+                                 "key long, x array<double>, y double")
+
+
+@pytest.mark.parametrize("absolute", [True, False])
+def test_a_regression_by_jobs_and_in_one_task_is_the_same(spark, monkeypatch, absolute):
+    table, settings = targets(spark, 500), BoostSettings(rounds=6, depth=3, rate=0.3, bins=32, least_weight=5)
+    alone = boosting.fit_regression(table, settings, absolute)
+    monkeypatch.setattr(boosting, "ROWS_IN_ONE_TASK", 50)
+    monkeypatch.setattr(boosting, "ROWS_PER_WIDE_BLOCK", 60)
+    monkeypatch.setattr(boosting, "ROUNDS_PER_TABLE", 4)
+    for parts, tasks in ((1, 1), (7, 3)):
+        apart = boosting.fit_regression(table.repartition(parts), settings, absolute, tasks)
+        assert [t[:3] for t in apart] == [t[:3] for t in alone]
+        assert all(np.allclose(a[3], b[3], rtol=0, atol=1e-12) for a, b in zip(apart, alone))
+
+
+def test_a_regression_splits_where_the_squares_are_least(spark):
+    table = targets(spark, 300, step=17)
+    settings = BoostSettings(rounds=1, depth=1, row_share=1.0, column_share=1.0, least_weight=1, bins=64)
+    (tree,) = boosting.fit_regression(table, settings)
+    assert tree[0][0] == 0 and tree[1][0] == 17.0 and np.allclose(tree[3][1:], [1.0, 5.0])
+    heavy = boosting.fit_regression(table, replace(settings, least_weight=140))[0]
+    assert 140 <= table.filter(F.col("x")[heavy[0][0]] > heavy[1][0]).count() <= 160
+    with pytest.raises(ValueError):
+        boosting.fit_regression(table.limit(0), settings)
+
+
+def test_the_driver_gets_splits_of_a_regression_and_no_sums(spark, monkeypatch):
+    got, grow = [], boosting._grow
+
+    def told(splits_of, *rest):
+        def run(*held):
+            got.append(splits_of(*held))
+            return got[-1]
+        return grow(run, *rest)
+
+    monkeypatch.setattr(boosting, "ROWS_IN_ONE_TASK", 50)
+    monkeypatch.setattr(boosting, "_grow", told)
+    boosting.fit_regression(targets(spark, 400), BoostSettings(rounds=2, depth=3, bins=64), tasks=4)
+    assert got and all(np.size(part) <= 2 * 2 ** 3 for found in got for splits in found.values() for part in splits)

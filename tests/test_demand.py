@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gondola.functions import boosting
 from gondola.functions.boosting import BoostSettings
 from gondola.operators import augment, demand
 from hand_made import history_rows, months
@@ -208,3 +209,17 @@ def test_tasks_of_a_round_do_not_grow_with_every_row():
     # By 50,000 rows a task these would be 400 and 80 tasks, in each of a few thousand jobs.
     assert demand._round_tasks(20_000_000, 12) == 40
     assert demand._round_tasks(4_000_000, 12) == 24
+
+
+def test_shared_trees_do_not_depend_on_tasks(spark, monkeypatch):
+    """However many tasks the rows are dealt out to, the draws and so the trees are the same."""
+    rows = demand.tree_rows(history_rows(spark, {
+        k: series(D(2018, 1, 1), [(k * 7 + i * 5) % 23 + 1 for i in range(30)]) for k in range(30)})).cache()
+    found = []
+    for each, alone in ((50_000, 1 << 17), (50_000, 10), (100, 10)):
+        monkeypatch.setattr(demand, "ROWS_PER_TASK", each)
+        monkeypatch.setattr(boosting, "ROWS_IN_ONE_TASK", alone)
+        model = demand.train_demand(rows.repartition(each % 7 + 1), FEW_ROUNDS)
+        found.append([r.predicted for r in model.transform(rows).orderBy("sk_produto", "trend").collect()])
+    assert found[1] == pytest.approx(found[0], abs=1e-9) and found[2] == pytest.approx(found[0], abs=1e-9)
+    assert len(set(found[0])) > 10
