@@ -39,6 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TREE = "struct<feature:array<int>,threshold:array<double>,left:array<int>,value:array<double>>"
 
 ROWS_PER_BLOCK = 1 << 14
+BLOCKS_PER_TASK = 32
 ROUNDS_PER_TABLE = 20
 SKETCH_ACCURACY = 10_000
 
@@ -127,29 +128,19 @@ class GrowingTree:
             self.value.append(value)
         return at, at + 1
 
-    def places(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        """The node that each row has come to."""
-        feature, cut, left = (np.array(x) for x in (self.feature, self.bin, self.left))
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(depth):
-            f = feature[node]
-            node = np.where(f < 0, node, left[node] + (bins[rows, f] > cut[node]))
-        return node
-
 
 def _softmax(margins: np.ndarray) -> np.ndarray:
     e = np.exp(margins - margins.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _histogram(block, trees, active, round_, classes, n_bins, settings) -> dict:
-    """Per active (class, node) the sums of a block, as flat places and their values."""
+def _histogram(block, trees, active, round_, classes, n_bins, settings) -> dict[int, np.ndarray]:
+    """Per class with active nodes the sums of a block: node x feature x bin x (gradient, Hessian)."""
     bins, label, key, margins = block
     if not len(bins):
         return {}
     used = draws(settings.seed, round_, key) < settings.row_share
-    chance = _softmax(margins)
-    features = bins.shape[1]
+    bins, label, chance = np.ascontiguousarray(bins[used].T), label[used], _softmax(margins[used])
     found = {}
     for c in range(classes):
         nodes = active[c]
@@ -159,32 +150,47 @@ def _histogram(block, trees, active, round_, classes, n_bins, settings) -> dict:
         weight = np.maximum(2 * chance[:, c] * (1 - chance[:, c]), 1e-16)
         number = np.full(len(trees[c].feature), -1)
         number[nodes] = range(len(nodes))
-        node = number[trees[c].places(bins, settings.depth)]
-        mine = used & (node >= 0)
-        flat = ((node[mine, None] * features + np.arange(features)) * n_bins + bins[mine]).ravel()
-        size = len(nodes) * features * n_bins
-        sums = np.stack([np.bincount(flat, np.repeat(x[mine], features), size)
-                         for x in (gradient, weight)], axis=1)
-        at = np.flatnonzero(sums[:, 1])
-        found[c] = at, sums[at]
+        node = number[_places(trees[c], bins)]
+        mine = node >= 0
+        place, both = node[mine] * n_bins, (gradient[mine], weight[mine])
+        sums = np.zeros((len(nodes), len(bins), n_bins, 2))
+        for f, column in enumerate(bins):
+            cell = place + column[mine]
+            for k, part in enumerate(both):
+                sums[:, f, :, k] = np.bincount(cell, part, len(nodes) * n_bins).reshape(-1, n_bins)
+        found[c] = sums
     return found
 
 
-def _summed(a: tuple, b: tuple) -> tuple:
-    """Sums of two blocks for one class."""
-    places, where = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    both = np.concatenate([a[1], b[1]])
-    return places, np.stack([np.bincount(where, both[:, k]) for k in (0, 1)], axis=1)
+def _class_sums(blocks, *settled) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """Per class the sums of a task's blocks, as flat places and their values."""
+    total: dict[int, np.ndarray] = {}
+    for block in blocks:
+        for c, sums in _histogram(block, *settled).items():
+            total[c] = total[c] + sums if c in total else sums
+    for c, sums in total.items():
+        flat = sums.reshape(-1, 2)
+        at = np.flatnonzero(flat[:, 1])
+        yield c, (at, flat[at])
+
+
+def _class_splits(sums: np.ndarray, allowed: np.ndarray, settings: BoostSettings) -> tuple:
+    """``best_splits`` of one class's nodes, from its sums."""
+    return best_splits(sums, np.broadcast_to(allowed, sums.shape[:2]), settings)
+
+
+def _summed(parts, shape: tuple) -> np.ndarray:
+    """Sums of a class over all tasks, added in the order of the tasks."""
+    sums = np.zeros((int(np.prod(shape[:-1])), 2))
+    for _, (at, values) in sorted(parts, key=lambda part: part[0]):
+        sums[at] += values
+    return sums.reshape(shape)
 
 
-def _class_splits(found: tuple, nodes: int, allowed: np.ndarray, n_bins: int, settings: BoostSettings) -> tuple:
-    """``best_splits`` of one class's nodes, from its flat sums."""
-    features = len(allowed)
-    sums = np.zeros((nodes * features * n_bins, 2))
-    at, values = found
-    sums[at] = values
-    return best_splits(sums.reshape(nodes, features, n_bins, 2),
-                       np.broadcast_to(allowed, (nodes, features)), settings)
+def _block_tasks(blocks: int, cores: int) -> int:
+    """Tasks of a round's jobs: every task is reported to the driver, in some thousand jobs, so once
+    all cores are busy twice over a task takes more blocks, up to ``BLOCKS_PER_TASK``."""
+    return max(1, min(blocks, 2 * cores), -(-blocks // BLOCKS_PER_TASK))
 
 
 def _blocks(edges: list[np.ndarray], classes: int) -> Callable:
@@ -257,29 +263,36 @@ def fit_classes(rows: DataFrame, settings: BoostSettings = BoostSettings(),
     if n <= ROWS_PER_BLOCK:
         rounds = _fit_in_one_task(table, settings, classes, features, n_bins)
     else:
-        rounds = _fit_by_jobs(table, settings, classes, features, n_bins)
+        rounds = _fit_by_jobs(table, settings, classes, features, n_bins, -(-n // ROWS_PER_BLOCK))
     forest = [[_thresholds(r[c], edges) for r in rounds] for c in range(classes)]
     frame = spark.createDataFrame([(forest,)], f"forest array<array<{TREE}>>")
     return ClassTrees(labels, frame, len(rounds), settings.depth)
 
 
 def _fit_by_jobs(table: DataFrame, settings: BoostSettings, classes: int, features: int,
-                 n_bins: int) -> list[list[GrowingTree]]:
+                 n_bins: int, blocks: int) -> list[list[GrowingTree]]:
     """A job per level; margins are kept with the rows and cut from their lineage at times."""
     spark, state, rounds = table.sparkSession, None, []
+    tasks = _block_tasks(blocks, spark.sparkContext.defaultParallelism)
     for round_ in range(settings.rounds):
         if round_ % ROUNDS_PER_TABLE == 0:
             table = cut_lineage(table)
-            old, state = state, table.rdd.map(_unpacked(features, classes)).persist(StorageLevel.MEMORY_AND_DISK)
+            old, state = state, table.rdd.coalesce(tasks).map(
+                _unpacked(features, classes)).persist(StorageLevel.MEMORY_AND_DISK)
             if old is not None:
                 old.unpersist()
 
         def splits(held, allowed, round_=round_, state=state):
             """Sums of a class meet in one task, which picks the class's splits: the driver gets these."""
-            return state.flatMap(lambda block: _histogram(
-                block, *held, round_, classes, n_bins, settings).items()).reduceByKey(
-                _summed, classes).map(lambda found: (found[0], _class_splits(
-                    found[1], len(held[1][found[0]]), allowed[found[0]], n_bins, settings))).collectAsMap()
+            def told(part, blocks):
+                return ((c, (part, sums)) for c, sums in _class_sums(
+                    blocks, *held, round_, classes, n_bins, settings))
+
+            def split(found):
+                c, parts = found
+                return c, _class_splits(_summed(parts, (len(held[1][c]), features, n_bins, 2)), allowed[c], settings)
+
+            return state.mapPartitionsWithIndex(told).groupByKey(classes).map(split).collectAsMap()
 
         trees = _grow(splits, settings, round_, classes, features)
         if not any(len(t.feature) > 1 for t in trees):
@@ -307,7 +320,7 @@ def _fit_in_one_task(table: DataFrame, settings: BoostSettings, classes: int, fe
         block = tuple(np.concatenate(c) for c in zip(*parts)) if parts else None
         for round_ in range(settings.rounds if parts else 0):
             def splits(held, allowed, round_=round_, block=block):
-                return {c: _class_splits(found, len(held[1][c]), allowed[c], n_bins, settings) for c, found in
+                return {c: _class_splits(sums, allowed[c], settings) for c, sums in
                         _histogram(block, *held, round_, classes, n_bins, settings).items()}
 
             trees = _grow(splits, settings, round_, classes, features)
@@ -343,7 +356,8 @@ def _moved(trees: list[GrowingTree], depth: int) -> Callable:
     """Margins after a round."""
     def run(block):
         bins, label, key, margins = block
-        more = np.stack([np.array(t.value)[t.places(bins, depth)] for t in trees], axis=1)
+        columns = np.ascontiguousarray(bins.T)
+        more = np.stack([np.array(t.value)[_places(t, columns)] for t in trees], axis=1)
         return bins, label, key, margins + more
     return run
 

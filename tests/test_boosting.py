@@ -280,3 +280,18 @@ def test_the_driver_gets_splits_of_a_regression_and_no_sums(spark, monkeypatch):
     monkeypatch.setattr(boosting, "_grow", told)
     boosting.fit_regression(targets(spark, 400), BoostSettings(rounds=2, depth=3, bins=64), tasks=4)
     assert got and all(np.size(part) <= 2 * 2 ** 3 for found in got for splits in found.values() for part in splits)
+
+
+def test_tasks_of_a_round_do_not_grow_with_the_blocks(spark, monkeypatch):
+    assert [boosting._block_tasks(n, 12) for n in (0, 1, 20, 160, 2000)] == [1, 1, 20, 24, 63]
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", 10)
+    given = []
+    settings = BoostSettings(rounds=1, depth=2, rate=0.3, bins=64)
+    table = frame(spark, rows_of(600))
+    monkeypatch.setattr(boosting, "_block_tasks", lambda blocks, cores: given.append(blocks) or 3)
+    model = boosting.fit_classes(table, settings)
+    tracker = spark.sparkContext.statusTracker()
+    last = tracker.getJobInfo(max(tracker.getJobIdsForGroup(None)))
+    assert given == [60] and {tracker.getStageInfo(k).numTasks for k in last.stageIds} == {3}
+    monkeypatch.undo()
+    assert np.allclose(chances(model, table), chances(boosting.fit_classes(table, settings), table))
