@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gondola.functions.lineage import checkpoint_dir
+from gondola.functions.lineage import checkpoint_dir, cut_lineage
 from gondola.llm import attention_lm, links, simhash, substring_dedup, warc
 
 SF = "/root/testdata/sf0.001"
@@ -347,6 +347,31 @@ def test_long_texts_and_one_stretch_for_overlapping_ones(spark):
     assert any(text[r.start:r.end] == long[150_000:150_080] for r in links if r.doc_id == 3)
 
 
+def test_pairs_at_once_tell_what_single_pairs_tell():
+    """Most pairs are settled by one sort of all, with the same stretches as one by one."""
+    draw = np.random.default_rng(3)
+    mine, theirs = [], []
+    for k in range(600):
+        a = draw.integers(0, draw.choice([3, 40, 1 << 31]), draw.integers(1, 160)).astype("<u4")
+        a = np.tile(a, 2) if k % 5 == 0 else a
+        b = a.copy() if k % 3 else draw.integers(0, 1 << 31, 90).astype("<u4")
+        b[draw.integers(0, len(b), k % 4)] += 1
+        mine.append(a)
+        theirs.append(np.roll(b, k % 7))
+    told = substring_dedup._plain_pairs(mine, theirs, 20, 0.8)
+    single = [substring_dedup._stretches(a, b, 20, 0.8) for a, b in zip(mine, theirs)]
+    assert all(t is None or t == s for t, s in zip(told, single))
+    assert sum(t is not None for t in told) > 200 and any(told) and [] in told
+    assert substring_dedup._plain_pairs([], [], 20, 0.8) == []
+
+
+def test_a_cut_may_drop_the_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    assert sorted(r.id for r in cut_lineage(spark.range(9).repartition("id"), drop_shuffles=True).collect()) == [*range(9)]
+    assert spark.conf.get(name) == before
+
+
 def test_exact_copies_with_returning_phrases():
     passage = np.arange(76, dtype=np.uint32) + 7
     passage[40:42] = passage[2:4]
