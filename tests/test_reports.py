@@ -4,8 +4,10 @@ from decimal import Decimal
 
 import pytest
 
+import __spark_entry__ as entry
+
 from gondola.functions.lineage import size_tasks
-from gondola.operators import quality, reports
+from gondola.operators import demand, quality, reports
 from gondola.operators.sales import with_stored_sales
 from gondola.sources.orders_feed import star_from_orders
 from gondola.sources.schema import SCHEMAS, conform
@@ -212,3 +214,15 @@ def test_shuffles_have_more_partitions_for_more_rows(spark):
     finally:
         for name, value in zip(names, before):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_forecastable_products_store_no_history_and_no_features(spark):
+    """Both are read once, for keys and names, so no measures and order counts are made of them."""
+    path = "/root/testdata/sf0.001/."
+    frame = entry.queries()["forecastable_products"](spark, path)
+    assert not {"history", "features"} & {name for _, folder, name in entry._made if folder == path}
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Quant" not in "".join(line for line in plan.splitlines() if "Relation" not in line and "Filter" not in line)
+    star = star_from_orders(spark, path)
+    given = demand.forecastable_products(reports.monthly_sales(star), reports.product_features(star))
+    assert frame.count() > 0 and sorted(map(str, frame.collect())) == sorted(map(str, given.collect()))
