@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from gondola.functions.lineage import cut_lineage
@@ -712,7 +713,8 @@ def loaded_classes(table: DataFrame) -> ClassTrees:
 
 # --- many small models --------------------------------------------------------------------
 
-ROWS_PER_GROUP = 1 << 13
+ROWS_PER_GROUP = 1 << 12
+ROWS_PER_MANY_TASK = 1 << 13
 KEYS_PER_BATCH = 64
 
 
@@ -761,43 +763,50 @@ def _many_columns(settings: BoostSettings, round_: int, keys: np.ndarray, featur
     return rank < max(1, int(features * settings.column_share))
 
 
-def _best_of_nodes(node, x, gradient, order, allowed, settings):
+def _best_of_nodes(node, columns, gradient, order, allowed, settings):
     """Per node the best split over all features: gain, feature, threshold, left sums.
 
-    ``order`` lists, per feature, the rows by node and then by value.
+    ``columns`` has a line of values a feature, and ``order`` lists in the same line the rows by node
+    and then by value. All features are looked at in one step.
     """
-    first = np.flatnonzero(np.diff(node[order[0]], prepend=-1))
-    nodes = node[order[0]][first]
-    sizes = np.diff(np.append(first, len(node)))
+    in_order = node[order[0]]
+    first = np.flatnonzero(np.diff(in_order, prepend=-1))
+    nodes = in_order[first]
+    sizes = np.diff(np.append(first, len(in_order)))
+    of = np.repeat(np.arange(len(nodes)), sizes)
+    count = np.arange(1, len(in_order) + 1) - first[of]
+    rest = sizes[of] - count
+    g = gradient[order]
+    total = np.add.reduceat(g[0], first)
+    value = np.take_along_axis(columns, order, 1)
+    sums = np.cumsum(g, axis=1)
+    sums -= (sums[:, first] - g[:, first])[:, of]
+    gain = sums ** 2 / (count + settings.ridge)
+    gain += (total[of] - sums) ** 2 / (rest + settings.ridge)
+    gain -= (total ** 2 / (sizes + settings.ridge))[of]
+    good = allowed[nodes].T[:, of]
+    good &= (rest > 0) & (count >= settings.least_weight) & (rest >= settings.least_weight)
+    good[:, :-1] &= value[:, :-1] < value[:, 1:]
+    gain[~good] = -np.inf
     best = np.full(len(nodes), 1e-9)
     feature = np.full(len(nodes), -1, np.int32)
+    most_of = np.maximum.reduceat(gain, first, axis=1)
+    for f, most in enumerate(most_of):
+        better = most > best + 1e-12
+        best[better], feature[better] = most[better], f
     threshold, left_sum, left_count = (np.zeros(len(nodes)) for _ in range(3))
-    total = np.add.reduceat(gradient[order[0]], first)
-    count = np.arange(1, len(node) + 1) - np.repeat(first, sizes)
-    rest = np.repeat(sizes, sizes) - count
-    whole = np.repeat(total ** 2 / (sizes + settings.ridge), sizes)
-    for f, by in enumerate(order):
-        value, g = x[by, f], gradient[by]
-        sums = np.cumsum(g)
-        sums -= np.repeat(sums[first] - g[first], sizes)
-        others = np.repeat(total, sizes) - sums
-        gain = sums ** 2 / (count + settings.ridge) + others ** 2 / (rest + settings.ridge) - whole
-        good = np.zeros(len(node), bool)
-        good[:-1] = value[:-1] < value[1:]
-        good &= ((rest > 0) & (count >= settings.least_weight) & (rest >= settings.least_weight)
-                 & np.repeat(allowed[nodes, f], sizes))
-        gain = np.where(good, gain, -np.inf)
-        most = np.maximum.reduceat(gain, first)
-        better = np.flatnonzero(most > best + 1e-12)
-        if len(better):
-            hit = np.flatnonzero(gain == np.repeat(most, sizes))
-            at = hit[np.searchsorted(hit, first[better])]
-            best[better], feature[better] = most[better], f
-            threshold[better], left_sum[better], left_count[better] = value[at], sums[at], count[at]
+    parted = np.flatnonzero(feature >= 0)
+    if len(parted):
+        f = feature[of]
+        # The first of equal gains; a node that is not parted has no gain like its best.
+        hit = np.flatnonzero(gain[f, np.arange(len(of))] == best[of])
+        at = hit[np.searchsorted(hit, first[parted])]
+        f = feature[parted]
+        threshold[parted], left_sum[parted], left_count[parted] = value[f, at], sums[f, at], count[at]
     return nodes, sizes, total, feature, threshold, left_sum, left_count
 
 
-def _many_round(x, gradient, owner, used, order, allowed, base, settings) -> _Nodes:
+def _many_round(x, columns, gradient, owner, used, order, allowed, base, settings) -> _Nodes:
     """One round's trees of all keys, from the rows drawn for it."""
     counts = np.bincount(owner[used], minlength=base)
     sums = np.bincount(owner[used], gradient[used], base)
@@ -805,15 +814,14 @@ def _many_round(x, gradient, owner, used, order, allowed, base, settings) -> _No
     node = owner.copy()
     live = used
     for _ in range(settings.depth):
-        order = [by[live[by]] for by in order]
-        if not len(order[0]):
+        order = order[live[order]].reshape(len(order), -1)
+        if not order.size:
             break
-        order = [by[np.argsort(node[by], kind="stable")] for by in order]
-        packed = np.zeros(len(x), np.int64)
-        packed[order[0]] = np.arange(len(order[0]))
-        rows = order[0]
+        # Few nodes fit in 16 bits, whose stable sort counts instead of comparing.
+        by_node = node.astype(np.int16) if len(nodes.feature) < 1 << 15 else node
+        order = np.take_along_axis(order, by_node[order].argsort(axis=1, kind="stable"), 1)
         at, sizes, total, feature, threshold, left, count = _best_of_nodes(
-            node[rows], x[rows], gradient[rows], [packed[by] for by in order], allowed[nodes.owner], settings)
+            node, columns, gradient, order, allowed[nodes.owner], settings)
         split = feature >= 0
         if not split.any():
             break
@@ -832,12 +840,13 @@ def grown_together(keys: np.ndarray, owner: np.ndarray, place: np.ndarray, x: np
     """Base values (means) of the keys, and the nodes of every round."""
     base = np.bincount(owner, y, len(keys)) / np.bincount(owner, minlength=len(keys))
     guess = base[owner]
-    order = [np.lexsort((x[:, f], owner)) for f in range(x.shape[1])]
+    columns = np.ascontiguousarray(x.T)
+    order = np.stack([np.lexsort((column, owner)) for column in columns])
     ids = keys[owner] * np.int64(1 << 20) + place
     rounds = []
     for round_ in range(settings.rounds):
         used = draws(settings.seed, round_, ids) < settings.row_share
-        nodes = _many_round(x, guess - y, owner, used, order,
+        nodes = _many_round(x, columns, guess - y, owner, used, order,
                             _many_columns(settings, round_, keys, x.shape[1]), len(keys), settings)
         node = owner
         for _ in range(settings.depth):
@@ -867,25 +876,13 @@ def _tree_lists(rounds: list[_Nodes], keys: int) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, keys * len(rounds) + 1, len(rounds), dtype=np.int32), trees)
 
 
-def _fit_groups(settings: BoostSettings) -> Callable:
-    def fitted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key = batch.column("key").to_numpy()
-        keys, owner = np.unique(key, return_inverse=True)
-        x = batch.column("x").flatten().to_numpy().reshape(len(key), -1)
-        base, rounds = grown_together(
-            keys, owner, batch.column("place").to_numpy(), x, batch.column("y").to_numpy(), settings)
-        # A model is tens of kilobytes: a few are laid out and handed on at a time.
-        for first in range(0, len(keys), KEYS_PER_BATCH):
-            end = min(first + KEYS_PER_BATCH, len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[first:end]), pa.array(base[first:end]),
-                 _tree_lists([r.of(first, end) for r in rounds], end - first)], ["key", "base", "trees"])
-
+def _by_groups(answered: Callable) -> Callable:
+    """Runs ``answered`` on the rows of many whole keys at a time; rows come sorted by key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
-            # Rows come sorted by key: whole keys are taken, the last one waits for the rest.
+            # Whole keys are taken, the last one waits for the rest.
             while batch.num_rows:
                 take = min(batch.num_rows, max(1, ROWS_PER_GROUP - rows))
                 held.append(batch.slice(0, take))
@@ -896,15 +893,42 @@ def _fit_groups(settings: BoostSettings) -> Callable:
                 key = whole.column("key").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))
                 if cut:
-                    yield from fitted(whole.slice(0, cut))
+                    yield from answered(whole.slice(0, cut))
                 held, rows = [whole.slice(cut)], len(key) - cut
                 if not cut:  # one key fills the group: it goes on growing
                     rows = 0
         if held and sum(b.num_rows for b in held):
-            yield from fitted(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield from answered(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
     return run
 
 
+def _grown(batch: pa.RecordBatch, settings: BoostSettings) -> tuple[np.ndarray, np.ndarray, list[_Nodes]]:
+    """The keys of a batch, their base values, and the nodes of every round."""
+    key = batch.column("key").to_numpy()
+    keys, owner = np.unique(key, return_inverse=True)
+    x = batch.column("x").flatten().to_numpy().reshape(len(key), -1)
+    return keys, *grown_together(
+        keys, owner, batch.column("place").to_numpy(), x, batch.column("y").to_numpy(), settings)
+
+
+def _fit_groups(settings: BoostSettings) -> Callable:
+    def fitted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, base, rounds = _grown(batch, settings)
+        # A model is tens of kilobytes: a few are laid out and handed on at a time.
+        for first in range(0, len(keys), KEYS_PER_BATCH):
+            end = min(first + KEYS_PER_BATCH, len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[first:end]), pa.array(base[first:end]),
+                 _tree_lists([r.of(first, end) for r in rounds], end - first)], ["key", "base", "trees"])
+
+    return _by_groups(fitted)
+
+
+def _rows_to_fit(rows: DataFrame, key: str, y: str, order: str) -> DataFrame:
+    return rows.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("place"),
+                       "x", F.col(y).cast("double").alias("y"))
+
+
 def fit_many(rows: DataFrame, settings: BoostSettings = BoostSettings(), key: str = "key",
              y: str = "y", order: str = "place") -> DataFrame:
     """One squared-loss model a key, on the array ``x`` and ``y``: ``key``, ``base``, ``trees``.
@@ -912,7 +936,67 @@ def fit_many(rows: DataFrame, settings: BoostSettings = BoostSettings(), key: st
     A key's rows are held by one task, so keys must be small (a product has a row a month).
     The draws of rows are hashes of key, place in ``order`` and round.
     """
-    given = rows.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("place"),
-                        "x", F.col(y).cast("double").alias("y"))
-    return given.repartition("key").sortWithinPartitions("key", "place").mapInArrow(
+    return _rows_to_fit(rows, key, y, order).repartition("key").sortWithinPartitions("key", "place").mapInArrow(
         _fit_groups(settings), f"key long, base double, trees array<{TREE}>").withColumnRenamed("key", key)
+
+
+class ManyModels:
+    """The models of some keys, while the task that grew them holds them."""
+
+    def __init__(self, keys: np.ndarray, base: np.ndarray, rounds: list[_Nodes], depth: int):
+        self.keys, self.base, self.rounds, self.depth = keys, base, rounds, depth
+
+    def guess(self, key: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Base and sum of the trees, as ``walked`` adds it; NaN for a key without a model, and where
+        a tree asks for a feature that is absent, which NaN stands for."""
+        out = np.full(len(key), np.nan)
+        if not len(self.keys):
+            return out
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        mine = np.flatnonzero(self.keys[at] == key)
+        root, x, total = at[mine], x[mine], np.zeros(len(mine))
+        lost, some = np.zeros(len(mine), bool), bool(np.isnan(x).any())
+        rows = np.arange(len(mine))
+        for nodes in self.rounds:
+            node = root
+            for _ in range(self.depth):
+                if some:
+                    f = nodes.feature[node]
+                    lost |= (f >= 0) & np.isnan(x[rows, f])
+                node = nodes.step(node, x)
+            total += nodes.value[node]
+        out[mine] = np.where(lost, np.nan, self.base[root] + total)
+        return out
+
+
+def _answer_groups(answer: Callable, settings: BoostSettings) -> Callable:
+    def answered(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        asked = batch.column("place").is_null()
+        given = batch.filter(asked).column("given")
+        if not len(given):
+            return
+        known = batch.filter(pc.invert(asked))
+        keys, base, rounds = _grown(known, settings) if known.num_rows else (np.zeros(0, np.int64), None, [])
+        yield answer(ManyModels(keys, base, rounds, settings.depth), pa.RecordBatch.from_struct_array(given))
+
+    return _by_groups(answered)
+
+
+def answered_by_many(rows: DataFrame, asked: DataFrame, answer: Callable, schema: str | T.StructType,
+                     settings: BoostSettings = BoostSettings(), key: str = "key", y: str = "y",
+                     order: str = "place") -> DataFrame:
+    """What ``answer`` makes of the rows of ``asked``, by the models of ``fit_many``.
+
+    A key's rows meet in the task that grows its model, which is dropped once they are answered:
+    models take far more room than the rows they are fitted to. ``answer`` gets the ``ManyModels`` of
+    some keys and the asked rows of these keys.
+    """
+    known = _rows_to_fit(rows, key, y, order).where("place is not null")
+    tasks = max(1, -(-known.count() // ROWS_PER_MANY_TASK))
+    given = asked.select(
+        F.col(key).cast("long").alias("key"), F.lit(None).cast("long").alias("place"),
+        F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("double").alias("y"),
+        F.struct("*").alias("given"))
+    both = known.withColumn("given", F.lit(None).cast(given.schema["given"].dataType)).unionByName(given)
+    return both.repartition(tasks, "key").sortWithinPartitions("key", "place").mapInArrow(
+        _answer_groups(answer, settings), schema)

@@ -8,9 +8,14 @@ holds more than a few dozen rows of one key.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import keyword_only
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle, keyword_only
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,12 +24,23 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
-from gondola.functions.boosting import BoostSettings, fit_many, fit_regression, walked, with_sum
+from gondola.functions.boosting import (
+    BoostSettings,
+    ManyModels,
+    answered_by_many,
+    fit_many,
+    fit_regression,
+    with_sum,
+)
 from gondola.functions.columns import month_diff, month_text, round_half_even, settled
 from gondola.functions.lineage import cut_lineage
 
+# ``answer`` functions run inside tasks: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Months needed for any model and for the seasonal one, share of a
 # product's rows used to fit, widening of the tree forecast's band, months at most in a
 # request for one product, and the names of the features.
@@ -321,52 +337,82 @@ def train_demand(rows: DataFrame, settings: TreeSettings = TreeSettings()) -> Pi
         trees=trees, depth=settings.depth, featuresCol="features", predictionCol="predicted_share"), back])
 
 
+def _features_of(rows: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Columns as doubles, a row each; NaN where there is none."""
+    return np.stack([pc.fill_null(rows.column(n).cast(pa.float64()), np.nan).to_numpy(
+        zero_copy_only=False) for n in names], axis=1)
+
+
+def _or_level(guess: np.ndarray, rows: pa.RecordBatch) -> pa.Array:
+    return pc.coalesce(pa.array(guess, mask=np.isnan(guess)), rows.column("level").cast(pa.float64()))
+
+
 @dataclass(frozen=True)
 class ProductTrees:
-    """One boosted model a product, as a table: ``sk_produto``, ``base``, ``trees``.
+    """One boosted model a product: ``rows`` are the training rows that each is grown from.
 
-    A product without a model (none of its rows is complete) gets its level.
+    ``table`` has the models, as ``sk_produto``, ``base``, ``trees``. They are hundreds of
+    times as large as their rows, so they are not stored: predictions come from the tasks that grow
+    the models. A product without a model (none of its rows is complete) gets its level.
     """
 
-    table: DataFrame
-    depth: int
+    rows: DataFrame
+    settings: BoostSettings
 
-    def attached(self, rows: DataFrame) -> DataFrame:
-        """Rows with their product's model."""
-        return rows.join(self.table.withColumnsRenamed({"base": "_base", "trees": "_trees"}), "sk_produto", "left")
+    @property
+    def table(self) -> DataFrame:
+        return fit_many(self.rows, self.settings, key="sk_produto", y="TotalQty", order="trend")
 
-    def guess(self, features: list[Column]) -> Column:
-        """The prediction of an attached model; the features are worked out once a row."""
-        x = F.array(F.array(*[f.cast("double") for f in features]))
-        by_trees = F.get(F.transform(x, lambda v: walked(F.col("_trees"), v, self.depth)), F.lit(0))
-        return F.coalesce(F.col("_base") + by_trees, F.col("level"))
+    def _answered(self, asked: DataFrame, answer: Callable, schema: str | StructType) -> DataFrame:
+        return answered_by_many(self.rows, asked, answer, schema, self.settings, "sk_produto", "TotalQty", "trend")
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Rows with ``predicted``."""
-        return self.attached(rows).withColumn(
-            "predicted", self.guess([F.col(f) for f in FEATURES])).drop("_base", "_trees")
-
-    def recursion(self, state: DataFrame, steps: int) -> DataFrame:
-        """``forecast_recursive`` from its starting state, all steps in one expression."""
-        def step(so_far: Column, k: Column) -> Column:
-            month = F.add_months("last_month", k)
-            raw = self.guess([F.month(month), F.quarter(month), F.year(month), so_far["lag_1"], so_far["lag_2"],
-                              so_far["lag_3"], so_far["roll_3"], F.col("roll_6"), F.col("last_trend") + k])
+        names = list(FEATURES)
 
-            def after(guess: Column) -> Column:
-                return F.struct(
-                    guess.cast("double").alias("lag_1"), so_far["lag_1"].alias("lag_2"),
-                    so_far["lag_2"].alias("lag_3"),
-                    round_half_even((so_far["roll_3"] * 2 + guess) / 3, 1).alias("roll_3"),
-                    F.array_append(so_far["done"], _entry(k, month, guess)).alias("done"))
+        def answer(models: ManyModels, given: pa.RecordBatch) -> pa.RecordBatch:
+            guess = models.guess(given.column("sk_produto").to_numpy(), _features_of(given, names))
+            return given.append_column("predicted", _or_level(guess, given))
 
-            # The guess is bound to a name, so that it is worked out once a step.
-            return F.get(F.transform(F.array(_count_of(raw)), after), F.lit(0))
+        return self._answered(rows, answer, StructType([*rows.schema.fields, StructField("predicted", DoubleType())]))
 
-        start = F.struct(*[F.col(c).cast("double").alias(c) for c in ("lag_1", "lag_2", "lag_3", "roll_3")],
-                         F.array().cast(f"array<{ENTRY}>").alias("done"))
-        done = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["done"]
-        return self.attached(state).select("sk_produto", F.explode(done).alias("f")).select("sk_produto", "f.*")
+    def recursion(self, state: DataFrame, steps: int) -> DataFrame:
+        """``forecast_recursive`` from its starting state, all steps in the task that grows the models."""
+        months = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda k: F.add_months("last_month", k))
+        asked = state.withColumn("calendar", F.transform(months, lambda m: F.array(F.month(m), F.quarter(m), F.year(m))))
+
+        def answer(models: ManyModels, given: pa.RecordBatch) -> pa.RecordBatch:
+            lag_1, lag_2, lag_3, roll_3, roll_6, trend = _features_of(
+                given, ["lag_1", "lag_2", "lag_3", "roll_3", "roll_6", "last_trend"]).T
+            key = given.column("sk_produto").to_numpy()
+            # Year, quarter and month of every step; a state without a last month has none.
+            calendar = np.array([c or [[np.nan] * 3] * steps for c in given.column("calendar").to_pylist()], float)
+            done = []
+            for k in range(steps):
+                x = np.stack([*calendar[:, k].T, lag_1, lag_2, lag_3, roll_3, roll_6, trend + k + 1], axis=1)
+                raw = _or_level(models.guess(key, x), given)
+                done.append(raw)
+                # As ``_count_of`` and ``round_half_even`` do it.
+                guess = pc.fill_null(raw, np.nan).to_numpy(zero_copy_only=False)
+                guess = np.fmax(np.rint(_rounded(guess, 6)), 0.0)
+                lag_1, lag_2, lag_3, roll_3 = guess, lag_1, lag_2, _rounded((roll_3 * 2 + guess) / 3, 1)
+            return pa.RecordBatch.from_arrays(
+                [given.column("sk_produto"), given.column("last_month"),
+                 pa.array(zip(*(d.to_pylist() for d in done)), pa.list_(pa.float64()))],
+                ["sk_produto", "last_month", "raw"])
+
+        raw = self._answered(asked, answer, StructType([
+            state.schema["sk_produto"], state.schema["last_month"], StructField("raw", ArrayType(DoubleType()))]))
+        step = F.col("step") + 1
+        return raw.select("sk_produto", "last_month", F.posexplode("raw").alias("step", "raw")).select(
+            "sk_produto", _entry(step, F.add_months("last_month", step), _count_of(F.col("raw"))).alias("f")).select(
+            "sk_produto", "f.*")
+
+
+def _rounded(value: np.ndarray, digits: int) -> np.ndarray:
+    """``round_half_even`` of an array."""
+    scale = 10.0 ** digits
+    return np.where(np.abs(value) * scale < 2.0 ** 52, np.rint(value * scale) / scale, value)
 
 
 def train_product_trees(rows: DataFrame, settings: BoostSettings = BoostSettings()) -> ProductTrees:
@@ -377,8 +423,7 @@ def train_product_trees(rows: DataFrame, settings: BoostSettings = BoostSettings
     """
     wanted = rows.filter("is_train").select(
         "sk_produto", "trend", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"), "TotalQty")
-    models = fit_many(wanted, settings, key="sk_produto", y="TotalQty", order="trend")
-    return ProductTrees(cut_lineage(models), settings.depth)
+    return ProductTrees(cut_lineage(wanted), settings)
 
 
 DemandModel = PipelineModel | ProductTrees
@@ -391,6 +436,7 @@ def tree_mae(model: DemandModel, rows: DataFrame, products: DataFrame) -> DataFr
     leave no complete row is among them.
     """
     miss = F.when(~F.col("is_train"), F.abs(F.col("TotalQty") - F.col("predicted")))
+    rows = rows.select("sk_produto", "is_train", "TotalQty", *FEATURES, "level")
     errors = model.transform(rows).groupBy("sk_produto").agg(settled(F.avg(miss), 2).alias("mae"))
     return products.select("sk_produto").distinct().join(errors, "sk_produto", "left").select(
         "sk_produto", F.lit("trees").alias("model"), "mae")

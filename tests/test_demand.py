@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gondola.functions import boosting
-from gondola.functions.boosting import BoostSettings
+from gondola.functions.boosting import BoostSettings, walked
 from gondola.operators import augment, demand
 from hand_made import history_rows, months
 
@@ -204,6 +204,25 @@ def test_one_model_a_product(spark, mixed):
             "roll_6 double, last_trend long, level double")
 
 
+def test_models_of_products_are_not_stored(spark, mixed):
+    """Predictions come from the tasks that grow the models, and are those of the models as a table."""
+    rows = demand.tree_rows(mixed)
+    model = demand.train_product_trees(rows, BoostSettings(rounds=30, depth=3, rate=0.2))
+    assert "trees" not in model.rows.columns
+    assert set(model.rows.inputFiles()) and all("tables-" in f for f in model.rows.inputFiles())
+    odd = rows.unionByName(rows.limit(1).withColumns({"sk_produto": F.lit(-5).cast("long"), "level": F.lit(7.5)}))
+    odd = odd.unionByName(rows.limit(1).withColumn("lag_1", F.lit(None).cast(rows.schema["lag_1"].dataType)))
+    got = model.transform(odd)
+    assert got.columns == [*odd.columns, "predicted"]
+    x = F.array(*[F.col(f).cast("double") for f in demand.FEATURES])
+    want = odd.join(model.table, "sk_produto", "left").withColumn("predicted", F.coalesce(
+        F.col("base") + walked(F.col("trees"), x, 3), F.col("level"))).select(got.columns)
+    key = lambda r: str(tuple(r)[:-1])
+    told, plain = (sorted(d.collect(), key=key) for d in (got, want))
+    assert [r[:-1] for r in told] == [r[:-1] for r in plain]
+    assert np.allclose([r.predicted for r in told], [r.predicted for r in plain], rtol=0, atol=1e-9)
+
+
 def test_tasks_of_a_round_do_not_grow_with_every_row():
     assert [demand._round_tasks(n, 12) for n in (0, 1, 50_001, 600_000)] == [1, 1, 2, 12]
     # By 50,000 rows a task these would be 400 and 80 tasks, in each of a few thousand jobs.
