@@ -295,3 +295,19 @@ def test_tasks_of_a_round_do_not_grow_with_the_blocks(spark, monkeypatch):
     assert given == [60] and {tracker.getStageInfo(k).numTasks for k in last.stageIds} == {3}
     monkeypatch.undo()
     assert np.allclose(chances(model, table), chances(boosting.fit_classes(table, settings), table))
+
+
+def test_a_few_blocks_need_no_jobs_by_level(spark, monkeypatch):
+    """Rows of a few blocks are fitted in one task; by jobs a round has one a level and no other."""
+    table = frame(spark, rows_of(180))
+    settings = BoostSettings(rounds=3, depth=2, rate=0.3, bins=64)
+    whole = chances(boosting.fit_classes(table, settings), table)
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", 50)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = set(jobs(None))
+    few = boosting.fit_classes(table, settings)
+    in_one = set(jobs(None)) - before
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", 40)
+    by_jobs = boosting.fit_classes(table, settings)
+    assert len(set(jobs(None)) - before - in_one) <= len(in_one) + 3 * settings.depth
+    assert np.allclose(chances(few, table), whole) and np.allclose(chances(by_jobs, table), whole)
