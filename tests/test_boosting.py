@@ -311,3 +311,28 @@ def test_a_few_blocks_need_no_jobs_by_level(spark, monkeypatch):
     by_jobs = boosting.fit_classes(table, settings)
     assert len(set(jobs(None)) - before - in_one) <= len(in_one) + 3 * settings.depth
     assert np.allclose(chances(few, table), whole) and np.allclose(chances(by_jobs, table), whole)
+
+
+def test_places_are_those_of_a_walk_and_half_a_million_rows_need_no_job_by_level(spark):
+    draw = np.random.default_rng(4)
+    bins = draw.integers(0, 30, (3, 500)).astype(np.uint8)
+    tree = boosting.GrowingTree.root()
+    open_ = [0]
+    for _ in range(200):  # over 256 nodes, which need more than a byte
+        node = open_.pop(int(draw.integers(len(open_))))
+        open_ += tree.split(node, int(draw.integers(3)), int(draw.integers(29)), (0.0, 0.0))
+
+    def walk(row):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.left[node] + bool(bins[tree.feature[node], row] > tree.bin[node])
+        return node
+
+    assert boosting._places(tree, bins).tolist() == [walk(k) for k in range(500)]
+    rows = spark.range(500_000).select(
+        F.col("id").alias("key"), F.array((F.col("id") % 7).cast("double")).alias("x"),
+        (F.col("id") % 7 + F.col("id") % 2).cast("double").alias("y"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = len(jobs(None))
+    trees = boosting.fit_regression(rows, BoostSettings(rounds=4, depth=3), tasks=8)
+    assert len(trees) == 4 and len(jobs(None)) - before < 4 * 3
