@@ -326,6 +326,22 @@ def test_recall_in_groups_of_edited_copies(spark, groups, size, length, edits):
         assert r.class_id // size == r.doc_id // size
 
 
+def test_long_copies_meet_their_neighbours_too(spark):
+    """Equal words about a window and the first of its group do not keep it from meeting the others."""
+    draw = random.Random(12)
+    some = lambda n: [f"w{draw.randrange(50000)}" for _ in range(n)]
+    passage, more = some(300), some(200)
+    rows = [(1, " ".join(passage)), (2, " ".join([*passage, *more])), (3, " ".join([*passage, *more]))]
+    links = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.match_id, r.start, r.end) for r in links} == {
+        (2, 1, 0, 300), (3, 1, 0, 300), (3, 2, 0, 500)}
+    windows = substring_dedup.window_rows(spark.createDataFrame(
+        [(k, " ".join(passage)) for k in range(4)], "doc_id long, text string"))
+    # Of a group of four equal windows each but the first meets the first and the one before it.
+    met = substring_dedup.joined_windows(windows).groupBy("doc_id", "other_id").count().collect()
+    assert {(r.doc_id, r.other_id) for r in met} == {(1, 0), (2, 0), (3, 0), (2, 1), (3, 2)}
+
+
 def test_long_texts_and_one_stretch_for_overlapping_ones(spark):
     draw = random.Random(8)
     some = lambda n: [f"w{draw.randrange(50000)}" for _ in range(n)]
