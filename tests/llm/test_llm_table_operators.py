@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from gondola.functions.lineage import checkpoint_dir, cut_lineage
 from gondola.llm import attention_lm, links, simhash, substring_dedup, warc
+from gondola.llm.byte_bpe import BytePairs, Encoder
+from gondola.llm.texts import Shared
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -213,6 +215,25 @@ def test_large_blocks_are_split_and_weights_averaged_over_parts(spark, docs, mon
     assert len(same) == 61 and np.ptp(same) < 1e-4  # products of single precision
 
 
+def test_the_network_learns_from_every_window(spark, docs, monkeypatch):
+    """All windows of all training rows are dealt out, however many a text has, and each is used once."""
+    pairs = Shared(spark, BytePairs(PATH))
+    rows, _ = attention_lm._dealt(docs.where("doc_id < 30").select("doc_id", "text"), 5, 1)
+    model = attention_lm.Model(np.arange(len(pairs.value.token_bytes), 0, -1))
+    monkeypatch.setattr(attention_lm, "WINDOWS_PER_TEXT", 1)
+    encoder, want = Encoder(pairs.value, special=False), 0
+    for r in rows.where("NOT held_out").collect():
+        ids, _ = attention_lm.encoded(encoder, r.text.encode().lower().split())
+        want += len(attention_lm.windows(np.array([0, len(ids) + 1]))[0])
+    assert attention_lm.PART_SHARE == 1
+    got = attention_lm.drawn_windows(rows, model, pairs, attention_lm.PART_SHARE).toArrow()
+    assert got.num_rows == want > rows.count()
+    seen = []
+    monkeypatch.setattr(attention_lm.Network, "gradients", lambda self, x, target, used: seen.extend(x[:, 0]) or {})
+    model.network.fit(np.arange(300 * 32).reshape(300, 32), np.zeros((300, 32), int), np.ones((300, 32), bool), None)
+    assert sorted(seen) == list(range(0, 300 * 32, 32))
+
+
 def test_fast_scores_equal_the_plain_network():
     draw = np.random.default_rng(2)
     model = attention_lm.Model(draw.integers(0, 50, 3000))
