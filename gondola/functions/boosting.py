@@ -729,7 +729,7 @@ def loaded_classes(table: DataFrame) -> ClassTrees:
 
 # --- many small models --------------------------------------------------------------------
 
-ROWS_PER_GROUP = 1 << 12
+ROWS_PER_GROUP = 1 << 13
 ROWS_PER_MANY_TASK = 1 << 13
 KEYS_PER_BATCH = 64
 
@@ -893,7 +893,8 @@ def _tree_lists(rounds: list[_Nodes], keys: int) -> pa.Array:
 
 
 def _by_groups(answered: Callable) -> Callable:
-    """Runs ``answered`` on the rows of many whole keys at a time; rows come sorted by key."""
+    """Runs ``answered`` on the rows of many whole keys at a time; rows come sorted by key. Rows without a
+    place are not fitted and do not count, so that keys are grown in the same company with them and without."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -902,7 +903,7 @@ def _by_groups(answered: Callable) -> Callable:
             while batch.num_rows:
                 take = min(batch.num_rows, max(1, ROWS_PER_GROUP - rows))
                 held.append(batch.slice(0, take))
-                batch, rows = batch.slice(take), rows + take
+                batch, rows = batch.slice(take), rows + take - held[-1].column("place").null_count
                 if rows < ROWS_PER_GROUP:
                     continue
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -910,7 +911,8 @@ def _by_groups(answered: Callable) -> Callable:
                 cut = int(np.searchsorted(key, key[-1]))
                 if cut:
                     yield from answered(whole.slice(0, cut))
-                held, rows = [whole.slice(cut)], len(key) - cut
+                held = [whole.slice(cut)]
+                rows = len(key) - cut - held[0].column("place").null_count
                 if not cut:  # one key fills the group: it goes on growing
                     rows = 0
         if held and sum(b.num_rows for b in held):
